@@ -30,17 +30,17 @@ def latin1(content: Column) -> Column:
 
 
 def escape_bytes(data: Column) -> Column:
-    r"""Printable ASCII as it is, all other bytes (and the space) as ``\xx``."""
-    def shown(code: Column) -> Column:
-        return F.when(
-            code.between("21", "7E"), F.decode(F.unhex(code), "US-ASCII")
-        ).otherwise(F.concat(F.lit("\\"), F.lower(code)))
-
-    codes = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(data), F.lit(1))),
-        lambda i: shown(F.hex(F.substring(data, i, F.lit(1)))),
+    r"""Printable ASCII as it is, all other bytes (and the space) as ``\xx``.
+
+    Each byte value that occurs is replaced in one go. The replacements consist
+    of printable ASCII only, so their order does not matter.
+    """
+    text = latin1(data)
+    others = F.array_distinct(F.regexp_extract_all(text, F.lit(r"[^\x21-\x7e]"), F.lit(0)))
+    return F.aggregate(
+        others, text,
+        lambda done, c: F.replace(done, c, F.concat(F.lit("\\"), F.lower(F.hex(F.encode(c, "ISO-8859-1"))))),
     )
-    return F.when(F.length(data) == 0, F.lit("")).otherwise(F.array_join(codes, ""))
 
 
 def registry_display(key_path: Column, value_name: Column, value: Column) -> Column:

@@ -441,7 +441,8 @@ parts AS (
   WHERE contains(text, s.needle)),
 offsets AS (
   SELECT path, string_id, needle, unnest(list_transform(range(1, len(p)),
-         lambda i: octet_length(encode(array_to_string(p[1:i], needle))))) AS pos
+         lambda i: CAST(list_sum(list_transform(p[1:i], lambda x: octet_length(encode(x)))) AS BIGINT)
+           + (i - 1) * octet_length(encode(needle)))) AS pos
   FROM parts)
 """
 _OFFSET_RULE = ("words", {"$a": "the ", "$b": "@"}, "any of them")
@@ -606,8 +607,8 @@ def k2_json(spark, folder):
 
 @query("k3_text_details", r"""
 SELECT concat('Yara: words ', path, chr(10), string_agg(shown, chr(10) ORDER BY string_id)) AS value
-FROM (SELECT f.path, f.string_id, coalesce((SELECT concat('  ', f.string_id, ' has the following matches:', chr(10),
-               string_agg(concat('    0x', format('{:08x}', pos), ': ', replace(needle, ' ', '\20')), chr(10) ORDER BY pos))
+FROM (SELECT f.path, f.string_id, coalesce((SELECT concat('  ', f.string_id, ' has the following matches:', chr(10)) ||
+               string_agg(concat('    0x', format('{:08x}', pos), ': ', replace(needle, ' ', '\20')), chr(10) ORDER BY pos)
              FROM offsets o WHERE o.path = f.path AND o.string_id = f.string_id), concat('  ', f.string_id, ' matches')) AS shown
       FROM (SELECT DISTINCT path, s.string_id FROM offsets, (VALUES ('$a'), ('$b')) s(string_id)) f) y
 GROUP BY path
