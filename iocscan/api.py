@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from iocscan.functions.content import file_type
 from iocscan.functions.names import WELL_KNOWN_NAMES, basename
-from iocscan.functions.patterns import checked_name_pattern
+from iocscan.functions.patterns import checked_name_patterns
 from iocscan.operators import content as rules_on
 from iocscan.operators import digests, names, units as scan_units
 from iocscan.operators.detectors import Detector
@@ -20,7 +20,7 @@ from iocscan.operators.findings import COLUMNS, finding
 from iocscan.operators.leaves import DEPTH
 from iocscan.operators.rules import RuleSet
 from iocscan.schemas import FINDING, HASH, SCAN_ERROR, YARA
-from iocscan.session import has_at_most, prepare
+from iocscan.session import prepare
 from iocscan.sources.files import CHUNK_BYTES, digest_files, list_files, read_files, with_file_types
 from iocscan.sources.iocs import filename_patterns as pattern_list, hash_iocs, hash_list, known_names as name_table
 from iocscan.sources.rulefiles import load_rules
@@ -53,13 +53,13 @@ def one_pass(
     rules: RuleSet | None = None,
     patterns: Sequence[tuple[str, str]] = (),
     watched: Sequence[str] = (),
-    iocs: DataFrame | None = None,
+    hashes: digests.HashList | None = None,
     rule_route: Column | None = None,
 ) -> DataFrame:
     """Findings of all row-local detectors in a single scan of the artifacts.
 
     Content rules, name detectors and digests are evaluated side by side on each
-    row, so the content is read once however many detectors are on. ``iocs`` must
+    row, so the content is read once however many detectors are on. ``hashes`` must
     be small enough to broadcast. ``rule_route`` restricts the content rules to
     the artifacts that are scanned as they are.
     """
@@ -68,9 +68,9 @@ def one_pass(
         found.append(names.filename_findings(patterns))
     if watched:
         found.append(names.near_miss_findings(watched))
-    if iocs is not None:
+    if hashes is not None:
         found.append(F.transform(
-            digests.digests(digests.algorithms_in(iocs), F.col("content")),
+            digests.digests(hashes.algorithms, F.col("content")),
             lambda d: finding(
                 HASH, F.concat_ws(":", d["algo"], d["digest"]), F.col("path"), F.col("basename")
             ),
@@ -93,10 +93,10 @@ def one_pass(
         )).cast(_FINDING_ARRAY)
         rows = hits.select(F.explode(F.concat(by_rules, "_local")).alias("f"))
     findings = rows.select("f.*").select(*COLUMNS)
-    if iocs is None:
+    if hashes is None:
         return findings
     # candidates of the digest detector stay only if they are in the list
-    listed = iocs.select(F.concat_ws(":", "algo", "digest").alias("_digest"), F.lit(True).alias("_listed"))
+    listed = hashes.table.select(F.concat_ws(":", "algo", "digest").alias("_digest"), F.lit(True).alias("_listed"))
     return (
         findings.withColumn("_digest", F.when(F.col("scanner") == HASH, F.col("rule_name")))
         .join(F.broadcast(listed), "_digest", "left")
@@ -143,7 +143,7 @@ def scan(
     if rules is not None and not rules.rules:
         rules = None
     patterns = pattern_list(spark, filename_patterns)
-    excluded = None if exclude is None else checked_name_pattern(spark, exclude)
+    excluded = None if exclude is None else checked_name_patterns(spark, [exclude])[0]
     watched: Sequence[str] = ()
     watch_table = None
     if isinstance(known_names, DataFrame):
@@ -153,12 +153,13 @@ def scan(
     elif known_names:
         given = WELL_KNOWN_NAMES if known_names is True else list(known_names)
         watched, watch_table = (given, None) if len(given) <= names.INLINE_NAMES else ((), name_table(spark, given))
-    iocs = None
+    iocs: DataFrame | None = None
     if isinstance(hashes, DataFrame):
         iocs = hashes if {"algo", "digest"} <= set(hashes.columns) else hash_iocs(hashes)
     elif hashes := list(hashes):
         iocs = hash_list(spark, hashes)
-    small_iocs = iocs if iocs is not None and has_at_most(iocs, digests.BROADCAST_HASHES) else None
+    listed = None if iocs is None else digests.HashList.of(iocs)
+    small_iocs = listed if listed is not None and listed.small else None
 
     listing = None
     if isinstance(artifacts, str):
@@ -196,22 +197,19 @@ def scan(
         found.append(one_pass(large, None, patterns, watched))
     if watch_table is not None:
         found.append(names.near_misses(name_rows, watch_table))
-    if iocs is not None and small_iocs is None:
-        found.append(digests.hash_findings(table, iocs))
-    if iocs is not None and listing is not None:
-        streamed = digest_files(large, digests.algorithms_in(iocs))
+    if listed is not None and not listed.small:
+        found.append(digests.hash_findings(table, listed))
+    if listed is not None and listing is not None:
+        streamed = digest_files(large, listed.algorithms)
         errors.append(_errors(streamed, "path", HASH, "read", "error"))
-        found.append(digests.hash_findings(streamed.where(F.col("error").isNull()), iocs))
+        found.append(digests.hash_findings(streamed.where(F.col("error").isNull()), listed))
 
     if rules is not None:
         sources = [] if native else [table.where(plain)]
         pieces_of = None if listing is None else large.where(plain)
-        if records is not None or registry_values is not None:
-            # logs and hives without rows of their own are scanned as raw bytes
-            rest = scan_units.without_rows(
-                (table if listing is None else listing).where(F.col("filetype").isin("evtx", "reg") & ~plain),
-                records, registry_values,
-            )
+        if registry_values is not None:
+            hives = (table if listing is None else listing).where(F.col("filetype") == "reg")
+            rest = scan_units.without_values(hives, registry_values)
             if listing is not None:
                 pieces_of = pieces_of.unionByName(rest.where(F.col("length") > chunk_bytes))
                 rest = read_files(rest, chunk_bytes).where(F.col("error").isNull()).drop("error")
@@ -220,9 +218,9 @@ def scan(
         if expand_archives:
             packed = (table if listing is None else listing).where(F.col("filetype").isin(*scan_units.PACKED))
             expanded = expand(scan_units.with_externals(packed), max_unit_bytes)
-            errors.append(_errors(expanded, "found_in_file", YARA, "expand", "error"))
-            cut = expanded.where("truncated").withColumn("error", F.lit("not decoded completely"))
-            errors.append(_errors(cut, "found_in_file", YARA, "expand", "error"))
+            cut = F.when(F.col("truncated"), "not decoded completely")
+            flawed = expanded.select("found_in_file", F.coalesce("error", cut).alias("error"))
+            errors.append(_errors(flawed, "found_in_file", YARA, "expand", "error"))
             sources.append(expanded.where(F.col("error").isNull()).drop("error"))
         if records is not None:
             leaf_units, unread = scan_units.record_units(records, json_depth, rules)

@@ -42,11 +42,11 @@ def name_pattern(pattern: str) -> str:
     return "(?Ud)" + "".join(out)
 
 
-def checked_name_pattern(spark: SparkSession, pattern: str) -> str:
-    """Translate and let Spark compile the pattern; a bad one fails at once."""
-    java = name_pattern(pattern)
+def checked_name_patterns(spark: SparkSession, patterns: list[str]) -> list[str]:
+    """Translate the patterns and let Spark compile them; a bad one fails at once."""
+    java = [name_pattern(p) for p in patterns]
     try:
-        spark.range(1).select(F.lit("").rlike(java)).collect()
+        spark.range(1).select(*[F.lit("").rlike(p) for p in java]).collect()
     except PySparkException as error:
-        raise ValueError(f"invalid pattern {pattern!r}") from error
+        raise ValueError(f"invalid pattern among {patterns}") from error
     return java

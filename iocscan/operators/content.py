@@ -138,16 +138,18 @@ def uses_arrow(rules: RuleSet) -> bool:
 _ATOM_NAME = re.compile(r"'(?:\\.|[^'\\])*'|\b[pcotr]_\d+(?:_\d+)*\b")
 
 
-def _hit_rules(rules: RuleSet, atom_sql=None) -> Column:
+def _hit_rules(rules: RuleSet, atom_sql=None, decided: set[int] = frozenset()) -> Column:
     """Array of the positions of the rules that hold, in rule order.
 
-    ``atom_sql`` gives the expression of an atom where it is no column.
+    ``atom_sql`` gives the expression of an atom where it is no column. Rules in
+    ``decided`` are left out.
     """
     def place(m: re.Match) -> str:
         return m[0] if m[0].startswith("'") or atom_sql is None else atom_sql(rules.atoms[m[0]])
 
     hits = [
         F.when(F.expr(_ATOM_NAME.sub(place, r.sql)), F.lit(i)) for i, r in rules.reported
+        if i not in decided
     ]
     return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<int>")
 
@@ -226,10 +228,12 @@ class ByteSearch:
             raise TimeoutError("scan of the unit took too long")
 
 
-def _tally(search: ByteSearch, atoms: dict[int, list[Atom]], data: bytes, deadline: float,
+def _tally(search: ByteSearch, atoms: dict[int, list[Atom]], data: bytes, deadline: float, seen: set[int],
            base: int = 0, lead: int = 0, own: int | None = None) -> dict[str, list[int]]:
     """Values of the atoms that are not at rest: counts, positions, flags.
 
+    The strings that occur are added to ``seen``.
+
     For a chunk, ``base`` is the position of its first byte in the file, and only
     matches that start in the ``own`` bytes after ``lead`` belong to it.
     """
@@ -239,6 +243,7 @@ def _tally(search: ByteSearch, atoms: dict[int, list[Atom]], data: bytes, deadli
     for index, start, _ in search.find(data, deadline):
         if not lead <= start < end:
             continue
+        seen.add(index)
         position = base + start
         for atom in atoms.get(index, ()):
             name = atom.name
@@ -253,13 +258,22 @@ def _tally(search: ByteSearch, atoms: dict[int, list[Atom]], data: bytes, deadli
                 if atom.args[0] <= position and (len(atom.args) == 1 or position <= atom.args[1]):
                     out[name] = [1]
             else:
-                seen = places.setdefault(name, [])
-                seen.append(position)
-                if len(seen) > 4 * atom.args[0]:
-                    seen[:] = sorted(set(seen))[: atom.args[0]]
-    for name, seen in places.items():
+                kept = places.setdefault(name, [])
+                kept.append(position)
+                if len(kept) > 4 * atom.args[0]:
+                    kept[:] = sorted(set(kept))[: atom.args[0]]
+    for name, kept in places.items():
         nth = int(name.rsplit("_", 1)[1])
-        out[name] = sorted(set(seen))[:nth]
+        out[name] = sorted(set(kept))[:nth]
+    return out
+
+
+def _decided_by_search(rules: RuleSet) -> dict[int, list[int]]:
+    """Rules that hold as soon as one string occurs, by string."""
+    out: dict[int, list[int]] = {}
+    for i, r in rules.reported:
+        for string in r.any_of or ():
+            out.setdefault(string, []).append(i)
     return out
 
 
@@ -267,9 +281,10 @@ _ATOMS = T.MapType(T.StringType(), T.ArrayType(T.LongType()))
 
 
 def _arrow_atoms(units: DataFrame, rules: RuleSet, keep: list[str], deadline_s: float, chunked: bool) -> DataFrame:
-    """``keep`` columns, ``_atoms`` (name to values) and ``error``.
+    """``keep`` columns, ``_atoms`` (name to values), ``_decided`` and ``error``.
 
-    Units in which nothing occurs are left out when no rule can hold for them.
+    ``_decided`` has the rules for which one occurrence is enough, so that their
+    conditions need no evaluation (not for chunks). Units in which nothing occurs are left out when no rule can hold for them.
     The rule set travels inside the function; its size is bounded by ``RuleSet``.
     """
     strings = rules.strings
@@ -277,20 +292,25 @@ def _arrow_atoms(units: DataFrame, rules: RuleSet, keep: list[str], deadline_s:
     for atom in rules.atoms.values():
         by_string.setdefault(atom.string, []).append(atom)
     skip_empty = rules.needs_match
+    decides = {} if chunked else _decided_by_search(rules)
+    if decides:
+        # their atoms are not needed for anything else
+        used = {a for i, r in enumerate(rules.rules) if r.any_of is None or r.private for a in r.atoms}
+        by_string = {s: [a for a in atoms if a.name in used] for s, atoms in by_string.items()}
     staged = _with_external_names(units, [*dict.fromkeys([
         *keep, "content", *(["chunk_start", "chunk_lead", "chunk_length"] if chunked else [])
     ])])
     carried = [*keep, *[f"ext_{n}" for n in EXTERNALS], "filesize"]
     schema = T.StructType(
         [staged.schema[c] for c in carried]
-        + [T.StructField("_atoms", _ATOMS), T.StructField("error", T.StringType())]
+        + [T.StructField("_atoms", _ATOMS), T.StructField("_decided", T.ArrayType(T.IntegerType())), T.StructField("error", T.StringType())]
     )
     arrow = to_arrow_schema(schema)
 
     def search(batches):
         finder = ByteSearch(strings)
         for batch in batches:
-            rows, atoms, errors = [], [], []
+            rows, atoms, decided, errors = [], [], [], []
             content = batch.column("content")
             for i in range(batch.num_rows):
                 data = content[i].as_py()
@@ -300,14 +320,17 @@ def _arrow_atoms(units: DataFrame, rules: RuleSet, keep: list[str], deadline_s:
                 if chunked:
                     start, lead = batch.column("chunk_start")[i].as_py(), batch.column("chunk_lead")[i].as_py()
                     place = {"base": start - lead, "lead": lead, "own": batch.column("chunk_length")[i].as_py()}
+                seen: set[int] = set()
                 try:
-                    found = _tally(finder, by_string, data, time.monotonic() + deadline_s, **place)
+                    found = _tally(finder, by_string, data, time.monotonic() + deadline_s, seen=seen, **place)
                     error = None
                 except TimeoutError as late:
                     found, error = {}, str(late)
-                if found or error or not skip_empty:
+                    seen.clear()
+                if found or seen or error or not skip_empty:
                     rows.append(i)
                     atoms.append(list(found.items()))
+                    decided.append(sorted({r for s in seen for r in decides.get(s, ())}))
                     errors.append(error)
             if rows:
                 taken = batch.select(carried).take(pa.array(rows, pa.int64()))
@@ -315,6 +338,7 @@ def _arrow_atoms(units: DataFrame, rules: RuleSet, keep: list[str], deadline_s:
                     [
                         *[taken.column(c).cast(arrow.field(c).type) for c in carried],
                         pa.array(atoms, arrow.field("_atoms").type),
+                        pa.array(decided, arrow.field("_decided").type),
                         pa.array(errors, pa.string()),
                     ],
                     schema=arrow,
@@ -375,7 +399,10 @@ def unit_hits(
     rows = _arrow_atoms(units, rules, keep, deadline_s, chunked)
     if chunked:
         rows = _merged_chunks(rows, rules, keep)
-    return rows.select(*keep, _hit_rules(rules, _atom_from_map).alias("rules"), "error")
+        return rows.select(*keep, _hit_rules(rules, _atom_from_map).alias("rules"), "error")
+    decided = {i for i, r in rules.reported if r.any_of is not None}
+    hits = F.concat("_decided", _hit_rules(rules, _atom_from_map, decided))
+    return rows.select(*keep, F.array_sort(hits).alias("rules"), "error")
 
 
 def rule_name(rules: RuleSet, position: Column) -> Column:

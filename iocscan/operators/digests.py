@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -10,6 +11,8 @@ from iocscan.operators.findings import COLUMNS, finding
 from iocscan.schemas import HASH
 from iocscan.session import has_at_most
 
+#: Lists up to this size are collected and kept as local rows.
+LOCAL_HASHES = 20_000
 #: Lists up to this size are broadcast (about 100 bytes a row when hashed).
 BROADCAST_HASHES = 500_000
 #: Copies of the indicator list in a shuffled join, so that the digest of a very
@@ -20,10 +23,30 @@ SALTS = 16
 ALGORITHMS = ("MD5", "SHA1", "SHA256")
 
 
-def algorithms_in(iocs: DataFrame) -> list[str]:
-    """Digest kinds that occur in the list; only these are computed."""
-    found = {r.algo for r in iocs.select("algo").distinct().limit(len(ALGORITHMS)).collect()}
-    return [a for a in ALGORITHMS if a in found]
+@dataclass
+class HashList:
+    """An indicator list (``algo, digest``) of known size class."""
+
+    table: DataFrame
+    algorithms: list[str]
+    small: bool
+
+    @classmethod
+    def of(cls, iocs: DataFrame, broadcast_limit: int = BROADCAST_HASHES) -> HashList:
+        """Look at the list once: a short one is kept as local rows.
+
+        Otherwise only its size class and the digest kinds in it are found out;
+        no other digests are computed later.
+        """
+        limit = min(LOCAL_HASHES, broadcast_limit)
+        rows = iocs.select("algo", "digest").limit(limit + 1).collect()
+        if len(rows) <= limit:
+            kinds = {r.algo for r in rows}
+            table = iocs.sparkSession.createDataFrame(rows, "algo string, digest string")
+            return cls(table, [a for a in ALGORITHMS if a in kinds], True)
+        kinds = {r.algo for r in iocs.select("algo").distinct().limit(len(ALGORITHMS)).collect()}
+        small = broadcast_limit > limit and has_at_most(iocs, broadcast_limit)
+        return cls(iocs, [a for a in ALGORITHMS if a in kinds], small)
 
 
 def digest_column(algo: str, content: Column) -> Column:
@@ -58,12 +81,12 @@ def hash_rows(artifacts: DataFrame, algos: list[str]) -> DataFrame:
     ).select("path", "basename", "d.algo", "d.digest")
 
 
-def hash_matches(artifacts: DataFrame, iocs: DataFrame, broadcast_limit: int = BROADCAST_HASHES) -> DataFrame:
+def hash_matches(artifacts: DataFrame, hashes: HashList) -> DataFrame:
     """Rows of ``hash_rows`` whose digest is in the list."""
-    rows = hash_rows(artifacts, algorithms_in(iocs))
-    if has_at_most(iocs, broadcast_limit):
-        return rows.join(F.broadcast(iocs), ["algo", "digest"], "left_semi")
-    salted = iocs.select(
+    rows = hash_rows(artifacts, hashes.algorithms)
+    if hashes.small:
+        return rows.join(F.broadcast(hashes.table), ["algo", "digest"], "left_semi")
+    salted = hashes.table.select(
         "algo", "digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     )
     return (
@@ -80,8 +103,8 @@ def hash_finding() -> Column:
     )
 
 
-def hash_findings(artifacts: DataFrame, iocs: DataFrame, broadcast_limit: int = BROADCAST_HASHES) -> DataFrame:
+def hash_findings(artifacts: DataFrame, hashes: HashList) -> DataFrame:
     return (
-        hash_matches(artifacts, iocs, broadcast_limit)
+        hash_matches(artifacts, hashes)
         .select(hash_finding().alias("f")).select("f.*").select(*COLUMNS)
     )

@@ -298,6 +298,13 @@ class Rule:
     private: bool = False
     strings: list[ByteString] = field(default_factory=list)
 
+    @property
+    def any_of(self) -> list[int] | None:
+        """The strings of which one is enough, if the condition says just that."""
+        if re.fullmatch(r"\(?p_\d+(?: or p_\d+)*\)?", self.sql):
+            return [int(n) for n in re.findall(r"\d+", self.sql)]
+        return None
+
 
 _NUMBER = r"(?:0x[0-9A-Fa-f]+|\d+(?:KB|MB)?)"
 _CONDITION_STEP = re.compile(

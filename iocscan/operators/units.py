@@ -140,12 +140,8 @@ def route(expand_archives: bool, records: bool = False, registry: bool = False)
     return F.when(is_plain(expand_archives, records, registry), "raw").otherwise(ways)
 
 
-def without_rows(special: DataFrame, records: DataFrame | None, registry_values: DataFrame | None) -> DataFrame:
-    """Logs and hives for which there are no records and no registry values."""
-    out = special
-    for table, column in ((records, "file"), (registry_values, "hive")):
-        if table is not None:
-            covered = table.select(F.col(column).alias("path")).distinct()
-            small = has_at_most(covered, BROADCAST_PATHS)
-            out = out.join(F.broadcast(covered) if small else covered, "path", "left_anti")
-    return out
+def without_values(hives: DataFrame, registry_values: DataFrame) -> DataFrame:
+    """Hives for which there are no values; these are scanned as raw bytes instead."""
+    covered = registry_values.select(F.col("hive").alias("path")).distinct()
+    small = has_at_most(covered, BROADCAST_PATHS)
+    return hives.join(F.broadcast(covered) if small else covered, "path", "left_anti")

@@ -227,7 +227,7 @@ def p8_errors(spark, folder):
 def _hash_query(algos: tuple[str, ...]) -> Query:
     def run(spark, folder):
         iocs = hash_iocs(inputs.hash_strings(spark, folder)).where(F.col("algo").isin(*algos))
-        return digests.hash_findings(inputs.artifacts(spark, folder), iocs).select(
+        return digests.hash_findings(inputs.artifacts(spark, folder), digests.HashList.of(iocs)).select(
             "scanner", "rule_name", "artifact_path", "found_in_file"
         )
     return run
@@ -250,8 +250,8 @@ for _name, _algos in (
 @query("j1_hash_large_list", _hash_oracle(("MD5", "SHA1", "SHA256")), ctes=(ARTIFACTS, HASH_IOCS))
 def j1_hash_large_list(spark, folder):
     """The shuffled form, for lists that must not be broadcast."""
-    iocs = hash_iocs(inputs.hash_strings(spark, folder))
-    return digests.hash_findings(inputs.artifacts(spark, folder), iocs, broadcast_limit=0).select(
+    hashes = digests.HashList.of(hash_iocs(inputs.hash_strings(spark, folder)), broadcast_limit=0)
+    return digests.hash_findings(inputs.artifacts(spark, folder), hashes).select(
         "scanner", "rule_name", "artifact_path", "found_in_file"
     )
 

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from iocscan.functions.names import WELL_KNOWN_NAMES
-from iocscan.functions.patterns import checked_name_pattern
+from iocscan.functions.patterns import checked_name_patterns
 
 
 def hash_iocs(hashes: DataFrame, column: str = "hash") -> DataFrame:
@@ -44,7 +44,8 @@ def hash_list(spark: SparkSession, hashes: Iterable[str]) -> DataFrame:
 
 def filename_patterns(spark: SparkSession, patterns: Iterable[str]) -> list[tuple[str, str]]:
     """(pattern, Java pattern) in the given order; a pattern given twice stays twice."""
-    return [(p, checked_name_pattern(spark, p)) for p in patterns]
+    patterns = list(patterns)
+    return list(zip(patterns, checked_name_patterns(spark, patterns))) if patterns else []
 
 
 def known_names(spark: SparkSession, names: Iterable[str] = WELL_KNOWN_NAMES) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from iocscan.api import one_pass
 from iocscan.functions.names import WELL_KNOWN_NAMES
 from iocscan.operators.content import rule_findings, uses_arrow
+from iocscan.operators.digests import HashList
 from iocscan.operators.rules import RuleSet
 from iocscan.operators.units import raw_units, with_externals
 from iocscan.sources.iocs import filename_patterns as pattern_list, hash_list
@@ -29,15 +30,16 @@ def scan_stream(
 ) -> DataFrame:
     """Findings of a streaming DataFrame with ``path, basename, content``."""
     spark = artifacts.sparkSession
-    if isinstance(hashes, DataFrame):
-        iocs = hashes
-    else:
+    if not isinstance(hashes, DataFrame):
         hashes = list(hashes)
-        iocs = hash_list(spark, hashes) if hashes else None
+        hashes = hash_list(spark, hashes) if hashes else None
+    listed = None if hashes is None else HashList.of(hashes)
+    if listed is not None and not listed.small:
+        raise ValueError("the list of hashes is too large to be joined to a stream row by row")
     arrow = rules is not None and uses_arrow(rules)
     findings = one_pass(
         artifacts, None if arrow else rules, pattern_list(spark, filename_patterns),
-        WELL_KNOWN_NAMES if known_names else (), iocs,
+        WELL_KNOWN_NAMES if known_names else (), listed,
     )
     if arrow:
         findings = findings.unionByName(rule_findings(raw_units(with_externals(artifacts)), rules))
