@@ -19,6 +19,8 @@ from iocscan.schemas import UNIT
 MAX_UNIT_BYTES = 128 * 1024 * 1024
 _FLUSH_BYTES = 32 * 1024 * 1024
 _STEP = 1024 * 1024
+#: Entries of one archive that one task reads at a time.
+MEMBERS_PER_SHARE = 256
 
 EXPANDED = T.StructType([*UNIT.fields, T.StructField("error", T.StringType())])
 
@@ -44,11 +46,17 @@ def decoded_prefix(kind: str, stream, budget: int) -> bytes:
     return b"".join(out)
 
 
-def archive_members(stream, budget: int) -> Iterator[tuple[str, bytes | None, str | None]]:
-    """(name, content, error) of the regular members of a zip archive."""
+def _regular(info: zipfile.ZipInfo) -> bool:
+    return not info.is_dir() and (info.external_attr >> 16) & 0o170000 in (0, 0o100000)
+
+
+def archive_members(
+    stream, budget: int, first: int = 0, end: int | None = None
+) -> Iterator[tuple[str, bytes | None, str | None]]:
+    """(name, content, error) of the regular members of a zip archive, or of a range of its entries."""
     with zipfile.ZipFile(stream) as archive:
-        for info in archive.infolist():
-            if info.is_dir() or (info.external_attr >> 16) & 0o170000 not in (0, 0o100000):
+        for info in archive.infolist()[first:end]:
+            if not _regular(info):
                 continue
             try:
                 with archive.open(info) as member:
@@ -67,7 +75,9 @@ def _units_of(row: dict, budget: int) -> Iterator[dict]:
         content = row.get("content")
         with io.BytesIO(content) if content is not None else open(row["path"], "rb") as stream:
             if row["filetype"] == "zip":
-                for name, data, error in archive_members(stream, budget):
+                for name, data, error in archive_members(
+                    stream, budget, row.get("member_first") or 0, row.get("member_end")
+                ):
                     shown = f"{row['path']}:{name}"
                     yield {
                         **base, "unit_kind": "member", "found_in_file": shown, "unit_id": shown,
@@ -87,7 +97,7 @@ def expand(artifacts: DataFrame, max_unit_bytes: int = MAX_UNIT_BYTES) -> DataFr
     Rows that could not be decoded have ``error`` and no content. Archives inside
     archives are not opened. Units leave in batches of bounded size, so an archive
     with any number of members is streamed. Without a ``content`` column the
-    file is opened by its path.
+    file is opened by its path, and a large archive is shared out among tasks.
     """
     arrow = to_arrow_schema(EXPANDED)
     names = EXPANDED.fieldNames()
@@ -113,5 +123,33 @@ def expand(artifacts: DataFrame, max_unit_bytes: int = MAX_UNIT_BYTES) -> DataFr
 
     columns = ["path", "filename", "filepath", "extension", "filetype", "md5", "owner"]
     if "content" in artifacts.columns:
-        columns.append("content")
-    return artifacts.select(*columns).mapInArrow(run, EXPANDED)
+        return artifacts.select(*columns, "content").mapInArrow(run, EXPANDED)
+    return _shares(artifacts.select(*columns)).mapInArrow(run, EXPANDED)
+
+
+def _shares(files: DataFrame) -> DataFrame:
+    """One row per stream and per ``MEMBERS_PER_SHARE`` entries of an archive, spread over the tasks."""
+    schema = T.StructType([
+        *files.schema.fields, T.StructField("member_first", T.LongType()), T.StructField("member_end", T.LongType()),
+    ])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                entries = 0
+                if row["filetype"] == "zip":
+                    try:
+                        with zipfile.ZipFile(row["path"]) as archive:
+                            entries = len(archive.infolist())
+                    except Exception:  # reported when the archive is expanded
+                        entries = 0
+                out += [
+                    {**row, "member_first": at, "member_end": at + MEMBERS_PER_SHARE}
+                    for at in range(0, max(entries, 1), MEMBERS_PER_SHARE)
+                ]
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    spread = files.sparkSession.sparkContext.defaultParallelism * 4
+    return files.mapInArrow(run, schema).repartition(spread)

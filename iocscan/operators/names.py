@@ -16,6 +16,8 @@ INLINE_NAMES = 64
 #: Watch-lists up to this size are broadcast, larger ones are shuffled. With
 #: about a dozen short variants per name this stays well under 200 MB.
 BROADCAST_NAMES = 200_000
+#: Copies of a near-miss pair in the join back to the files.
+SALTS = 16
 
 
 def exclude_names(artifacts: DataFrame, pattern: str | None) -> DataFrame:
@@ -76,8 +78,11 @@ def near_misses(artifacts: DataFrame, known: DataFrame) -> DataFrame:
     small = has_at_most(known, BROADCAST_NAMES)
     files = artifacts.select("path", "basename")
     pairs = near_miss_pairs(files.select("basename").distinct(), known, small)
-    # A frequent name is a hot key here; adaptive execution splits its partition.
-    hits = files.join(pairs, "basename")
+    # a name that very many files carry is spread over several tasks
+    salted = pairs.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    hits = files.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")).join(
+        salted, ["basename", "salt"]
+    )
     return hits.select(
         finding(LEVENSHTEIN, F.col("known"), F.col("path"), F.col("path")).alias("f")
     ).select("f.*").select(*COLUMNS)

@@ -82,13 +82,17 @@ known8(known) AS (VALUES ('svchost.exe'), ('explorer.exe'), ('iexplore.exe'), ('
 
 def hash_strings(spark: SparkSession, folder: str) -> DataFrame:
     """Hex digests as an analyst would hand them in: mixed case, some twice."""
-    labelled = table(spark, folder, "labels").join(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
     body = F.col("text").cast("binary")
+    # the digests are joined, not the texts
+    known = table(spark, folder, "documents").select(
+        "doc_id", F.md5(body).alias("md5"), F.sha1(body).alias("sha1"), F.sha2(body, 256).alias("sha256")
+    )
+    labelled = known.join(table(spark, folder, "labels"), "doc_id")
     kinds = F.array_compact(F.array(
-        F.when(F.col("toxic") == 1, F.upper(F.md5(body))),
-        F.when(F.col("toxic") == 1, F.md5(body)),
-        F.when(F.col("quality") == 0, F.sha1(body)),
-        F.when(F.col("quality") == 1, F.sha2(body, 256)),
+        F.when(F.col("toxic") == 1, F.upper("md5")),
+        F.when(F.col("toxic") == 1, F.col("md5")),
+        F.when(F.col("quality") == 0, F.col("sha1")),
+        F.when(F.col("quality") == 1, F.col("sha256")),
     ))
     return labelled.select(F.explode(kinds).alias("hash"))
 
