@@ -16,7 +16,7 @@ from iocscan.operators import content as rules_on
 from iocscan.operators import digests, names, units as scan_units
 from iocscan.operators.detectors import Detector
 from iocscan.operators.expand import MAX_UNIT_BYTES, expand
-from iocscan.operators.findings import COLUMNS, finding
+from iocscan.operators.findings import COLUMNS, exploded, finding, positions_where
 from iocscan.operators.leaves import DEPTH
 from iocscan.operators.rules import RuleSet
 from iocscan.schemas import FINDING, HASH, SCAN_ERROR, YARA
@@ -26,7 +26,6 @@ from iocscan.sources.iocs import filename_patterns as pattern_list, hash_iocs, h
 from iocscan.sources.rulefiles import load_rules
 
 _ERROR = SCAN_ERROR.fieldNames()
-_FINDING_ARRAY = f"array<{FINDING.simpleString()}>"
 
 
 @dataclass
@@ -63,39 +62,46 @@ def one_pass(
     be small enough to broadcast. ``rule_route`` restricts the content rules to
     the artifacts that are scanned as they are.
     """
-    found = []
-    if patterns:
-        found.append(names.filename_findings(patterns))
-    if watched:
-        found.append(names.near_miss_findings(watched))
-    if hashes is not None:
-        found.append(F.transform(
-            digests.digests(hashes.algorithms, F.col("content")),
-            lambda d: finding(
-                HASH, F.concat_ws(":", d["algo"], d["digest"]), F.col("path"), F.col("basename")
-            ),
-        ))
-    local = F.concat(*[f.cast(_FINDING_ARRAY) for f in found]) if found else F.array().cast(_FINDING_ARRAY)
+    # Every possible finding has a number: rules, then names, then digests. The
+    # pass over the content yields the numbers that apply to a row.
+    scanners, labels = ([YARA] * len(rules.rules), [r.rule_id for r in rules.rules]) if rules else ([], [])
+    tests = []
+    for scanner, label, test in names.name_tests(patterns, watched):
+        tests.append((len(labels), test))
+        scanners.append(scanner)
+        labels.append(label)
+    algorithms = hashes.algorithms if hashes is not None else []
+    first_digest = len(labels)
+    scanners += [HASH] * len(algorithms)
+    numbers = F.concat(
+        positions_where(tests), F.array(*[F.lit(first_digest + i) for i in range(len(algorithms))]).cast("array<int>")
+    )
+    shown = F.array(*digests.shown_digests(algorithms, F.col("content"))).cast("array<string>")
     if rules is None:
-        rows = artifacts.select(F.explode(local).alias("f"))
+        rows = artifacts.select("path", "basename", shown.alias("_digests"), numbers.alias("_numbers"))
     else:
         scanned = scan_units.with_externals(artifacts)
-        if rule_route is not None:
-            scanned = scanned.withColumn("_raw", rule_route)
-        units = scanned.select("*", local.alias("_local"))
-        keep = ["path", "_local", *(["_raw"] if rule_route is not None else [])]
-        hits = rules_on.unit_hits(units, rules, keep=keep, arrow=False)
-        positions = F.col("rules") if rule_route is None else F.when(F.col("_raw"), F.col("rules")).otherwise(
-            F.array().cast("array<int>")
+        units = scanned.select(
+            "*", shown.alias("_digests"), numbers.alias("_others"),
+            (F.lit(True) if rule_route is None else rule_route).alias("_raw"),
+        )
+        hits = rules_on.unit_hits(
+            units, rules, keep=["path", "basename", "_digests", "_others", "_raw"], arrow=False
         )
-        by_rules = F.transform(positions, lambda i: finding(
-            YARA, rules_on.rule_name(rules, i), F.col("path"), F.col("path")
-        )).cast(_FINDING_ARRAY)
-        rows = hits.select(F.explode(F.concat(by_rules, "_local")).alias("f"))
-    findings = rows.select("f.*").select(*COLUMNS)
+        by_rules = F.when(F.col("_raw"), F.col("rules")).otherwise(F.array().cast("array<int>"))
+        rows = hits.select("path", "basename", "_digests", F.concat(by_rules, "_others").alias("_numbers"))
+    number = F.col("_number")
+    is_digest = number >= first_digest
+    findings = exploded(rows, F.col("_numbers"), "_number", "path", "basename", "_digests").select(
+        finding(
+            F.lit(scanners)[number],
+            F.when(is_digest, F.col("_digests")[number - first_digest]).otherwise(F.lit(labels or [""])[number]),
+            F.col("path"), F.when(is_digest, F.col("basename")).otherwise(F.col("path")),
+        ).alias("f")
+    ).select("f.*")
     if hashes is None:
         return findings
-    # candidates of the digest detector stay only if they are in the list
+    # digests stay only if they are in the list
     listed = hashes.table.select(F.concat_ws(":", "algo", "digest").alias("_digest"), F.lit(True).alias("_listed"))
     return (
         findings.withColumn("_digest", F.when(F.col("scanner") == HASH, F.col("rule_name")))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from iocscan.functions.content import latin1
-from iocscan.operators.findings import COLUMNS, finding
+from iocscan.operators.findings import COLUMNS, exploded, finding, positions_where
 from iocscan.operators.rules import EXTERNALS, Atom, ByteString, Rule, RuleSet
 from iocscan.schemas import FINDING, STRING_MATCHES, YARA
 
@@ -147,11 +147,9 @@ def _hit_rules(rules: RuleSet, atom_sql=None, decided: set[int] = frozenset()) -
     def place(m: re.Match) -> str:
         return m[0] if m[0].startswith("'") or atom_sql is None else atom_sql(rules.atoms[m[0]])
 
-    hits = [
-        F.when(F.expr(_ATOM_NAME.sub(place, r.sql)), F.lit(i)) for i, r in rules.reported
-        if i not in decided
-    ]
-    return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<int>")
+    return positions_where([
+        (i, F.expr(_ATOM_NAME.sub(place, r.sql))) for i, r in rules.reported if i not in decided
+    ])
 
 
 def _with_external_names(units: DataFrame, keep: list[str]) -> DataFrame:
@@ -411,13 +409,14 @@ def rule_name(rules: RuleSet, position: Column) -> Column:
 
 def rule_findings(units: DataFrame, rules: RuleSet, deadline_s: float = 240, arrow: bool | None = None) -> DataFrame:
     """One finding per unit and rule, without the matches."""
-    hits = unit_hits(units, rules, deadline_s=deadline_s, arrow=arrow).where(F.size("rules") > 0)
-    return hits.select("*", F.explode("rules").alias("rule")).select(
+    hits = unit_hits(units, rules, deadline_s=deadline_s, arrow=arrow)
+    kept = ["artifact_path", "found_in_file", "value_data", "contained_file"]
+    return exploded(hits, F.col("rules"), "rule", *kept).select(
         finding(
             YARA, rule_name(rules, F.col("rule")), F.col("artifact_path"), F.col("found_in_file"),
             F.col("value_data"), F.col("contained_file"),
         ).alias("f")
-    ).select("f.*").select(*COLUMNS)
+    ).select("f.*")
 
 
 def rule_findings_with_matches(
@@ -430,7 +429,10 @@ def rule_findings_with_matches(
     """
     keep = [c for c in CARRIED if c in units.columns]
     hits = unit_hits(units, rules, keep=[*keep, "content"], deadline_s=deadline_s, arrow=arrow)
-    return collect_matches(hits.where(F.size("rules") > 0), rules)
+    # the same trick as in ``exploded``, to evaluate the rules once
+    kept = [c for c in hits.columns if c != "rules"]
+    held = exploded(hits, F.array("rules"), "rules", *kept).where(F.size("rules") > 0)
+    return collect_matches(held, rules)
 
 
 def _match_lists(search: ByteSearch, rule: Rule, data: bytes, base: int = 0, lead: int = 0,
@@ -502,7 +504,7 @@ def chunked_findings_with_matches(pieces: DataFrame, rules: RuleSet, deadline_s:
     merged = _merged_chunks(_arrow_atoms(pieces, seen, keep, deadline_s, True), seen, keep)
     verdicts = (
         merged.select(*keep, _hit_rules(seen, _atom_from_map).alias("rules"), "_atoms")
-        .select("*", F.explode("rules").alias("rule"))
+        .select("*", F.explode_outer("rules").alias("rule")).where(F.col("rule").isNotNull())
     )
     none = F.array().cast("array<struct<offset:bigint,data:binary>>")
     absent = F.array(*[
@@ -519,7 +521,7 @@ def chunked_findings_with_matches(pieces: DataFrame, rules: RuleSet, deadline_s:
             YARA, rule_name(rules, F.col("rule")), F.col("artifact_path"), F.col("found_in_file"),
             F.col("value_data"), F.col("contained_file"), strings=absent,
         ).alias("f")
-    ).select("f.*").select(*COLUMNS)
+    ).select("f.*")
     all_rules = [(i, r) for i, r in rules.reported if r.strings]
     schema = T.StructType([
         T.StructField("found_in_file", T.StringType()), T.StructField("rule", T.IntegerType()),
@@ -558,7 +560,7 @@ def chunked_findings_with_matches(pieces: DataFrame, rules: RuleSet, deadline_s:
             YARA, rule_name(rules, F.col("rule")), F.col("artifact_path"), F.col("found_in_file"),
             F.col("value_data"), F.col("contained_file"), F.col("part"), F.col("strings"),
         ).alias("f")
-    ).select("f.*").select(*COLUMNS)
+    ).select("f.*")
     return first.unionByName(further)
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from iocscan.operators.findings import COLUMNS, finding
+from iocscan.operators.findings import exploded, finding
 from iocscan.schemas import HASH
 from iocscan.session import has_at_most
 
@@ -55,11 +55,9 @@ def digest_column(algo: str, content: Column) -> Column:
     return F.sha1(content) if algo == "SHA1" else F.sha2(content, 256)
 
 
-def digests(algos: Iterable[str], content: Column) -> Column:
-    """Array of (algo, digest) of the content."""
-    return F.array(*[
-        F.struct(F.lit(a).alias("algo"), digest_column(a, content).alias("digest")) for a in algos
-    ])
+def shown_digests(algos: Iterable[str], content: Column) -> list[Column]:
+    """``ALGO:hex`` of the content for each kind."""
+    return [F.concat(F.lit(f"{a}:"), digest_column(a, content)) for a in algos]
 
 
 def hash_rows(artifacts: DataFrame, algos: list[str]) -> DataFrame:
@@ -76,9 +74,9 @@ def hash_rows(artifacts: DataFrame, algos: list[str]) -> DataFrame:
         )
         for a in algos
     ]
-    return artifacts.select(
-        "path", "basename", F.explode(F.array(*parts)).alias("d")
-    ).select("path", "basename", "d.algo", "d.digest")
+    return exploded(artifacts, F.array(*parts), "d", "path", "basename").select(
+        "path", "basename", "d.algo", "d.digest"
+    )
 
 
 def hash_matches(artifacts: DataFrame, hashes: HashList) -> DataFrame:
@@ -106,5 +104,5 @@ def hash_finding() -> Column:
 def hash_findings(artifacts: DataFrame, hashes: HashList) -> DataFrame:
     return (
         hash_matches(artifacts, hashes)
-        .select(hash_finding().alias("f")).select("f.*").select(*COLUMNS)
+        .select(hash_finding().alias("f")).select("f.*")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from iocscan.schemas import FINDING, STRING_MATCHES
 
@@ -32,3 +32,23 @@ def finding(
 
 
 COLUMNS = FINDING.fieldNames()
+
+
+def exploded(frame: DataFrame, array: Column, name: str, *kept: str) -> DataFrame:
+    """One row per element of an array that is costly to compute.
+
+    A plain ``explode`` makes the optimizer test the size of the array in a
+    filter of its own, which evaluates the array twice. The outer form does not;
+    the rows it adds for empty arrays are dropped afterwards.
+    """
+    return frame.select(*kept, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
+def positions_where(tests: list[tuple[int, Column]]) -> Column:
+    """Array of the numbers whose condition is true, in order.
+
+    Written without a lambda, so that it stays in generated code.
+    """
+    if not tests:
+        return F.array().cast("array<int>")
+    return F.array_remove(F.array(*[F.when(test, F.lit(i)).otherwise(F.lit(-1)) for i, test in tests]), -1)

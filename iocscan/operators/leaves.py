@@ -17,15 +17,17 @@ def string_leaves(records: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, Da
     and ``leaf``; errors have ``file, record_id, message``.
     """
     parsed = records.select("*", F.try_parse_json("data").alias("_node"))
-    view = parsed
-    names = records.columns
+    names = ", ".join(f"`{c}`" for c in records.columns)
+    level = f"SELECT {names}, _node FROM {{parsed}}"
     for _ in range(depth):
-        view = view.select(*names, "_node").lateralJoin(
-            view.sparkSession.tvf.variant_explode_outer(F.col("_node").outer()).select(F.col("value").alias("_value")),
-        ).select(*names, F.coalesce("_value", "_node").alias("_node"))
+        level = (
+            f"SELECT {names}, coalesce(t.value, _node) AS _node FROM ({level}), "
+            "LATERAL variant_explode_outer(_node) AS t"
+        )
+    view = records.sparkSession.sql(level, parsed=parsed)
     kind = F.schema_of_variant("_node")
     leaves = view.where(kind == "STRING").select(
-        *names, F.variant_get("_node", "$", "string").alias("leaf")
+        *records.columns, F.variant_get("_node", "$", "string").alias("leaf")
     )
     unread = parsed.where(F.col("_node").isNull() & F.col("data").isNotNull()).select(
         "file", "record_id", F.lit("malformed record").alias("message")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from iocscan.functions.names import deletion_neighbourhood, one_edit_apart
-from iocscan.operators.findings import COLUMNS, finding
+from iocscan.operators.findings import finding
 from iocscan.schemas import FILENAME, LEVENSHTEIN
 from iocscan.session import has_at_most
 
@@ -25,30 +25,17 @@ def exclude_names(artifacts: DataFrame, pattern: str | None) -> DataFrame:
     return artifacts if pattern is None else artifacts.where(~F.col("basename").rlike(pattern))
 
 
-def filename_findings(patterns: Sequence[tuple[str, str]]) -> Column:
-    """Array of findings, one per matching pattern.
+def name_tests(patterns: Sequence[tuple[str, str]], watched: Sequence[str]) -> list[tuple[str, str, Column]]:
+    """(scanner, rule name, condition) for each pattern and each name of a short watch-list.
 
-    Every pattern is a literal, so it is compiled once per task and all of them
-    are tested in the same pass over the names.
+    Patterns and names are literals, so they are compiled once per task and all
+    of them are tested in the same pass.
     """
-    return F.array_compact(F.array(*[
-        F.when(
-            F.col("basename").rlike(java),
-            finding(FILENAME, F.lit(pattern), F.col("path"), F.col("path")),
-        )
-        for pattern, java in patterns
-    ]))
-
-
-def near_miss_findings(names: Sequence[str]) -> Column:
-    """Array of findings for a short watch-list."""
-    return F.array_compact(F.array(*[
-        F.when(
-            one_edit_apart(F.col("basename"), F.lit(name)),
-            finding(LEVENSHTEIN, F.lit(name), F.col("path"), F.col("path")),
-        )
-        for name in names
-    ]))
+    name = F.col("basename")
+    return [
+        *[(FILENAME, pattern, name.rlike(java)) for pattern, java in patterns],
+        *[(LEVENSHTEIN, known, one_edit_apart(name, F.lit(known))) for known in watched],
+    ]
 
 
 def near_miss_pairs(names: DataFrame, known: DataFrame, broadcast: bool) -> DataFrame:
@@ -85,7 +72,7 @@ def near_misses(artifacts: DataFrame, known: DataFrame) -> DataFrame:
     )
     return hits.select(
         finding(LEVENSHTEIN, F.col("known"), F.col("path"), F.col("path")).alias("f")
-    ).select("f.*").select(*COLUMNS)
+    ).select("f.*")
 
 
 def known_name_list(spark: SparkSession, known: DataFrame) -> list[str] | None:

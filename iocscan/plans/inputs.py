@@ -24,25 +24,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 # --- artifacts: documents as files -------------------------------------------
 
-_BASES = ("svchost.exe", "explorer.exe", "iexplore.exe", "lsass.exe", "chrome.exe", "csrss.exe", "firefox.exe")
-
-
 def evidence_path() -> Column:
     """A path for each document: planted names, near misses of them, and ordinary names."""
-    base = F.lit("winlogon.exe")
-    for i, name in reversed(list(enumerate(_BASES))):
-        base = F.when(F.col("doc_id") % 8 == i, name).otherwise(base)
-    form = F.floor(F.col("doc_id") / 8) % 7
-    name = (
-        F.when(form == 0, base)
-        .when(form == 1, F.concat(F.lit("0"), F.substr(base, F.lit(2))))
-        .when(form == 2, F.substring(base, F.lit(1), F.length(base) - 1))
-        .when(form == 3, F.concat(base, F.lit("x")))
-        .when(form == 4, F.concat(F.lit("00"), F.substr(base, F.lit(3))))
-        .when(form == 5, F.replace(base, F.lit("r.exe"), F.lit(".exe")))
-        .otherwise(F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".txt")))
-    )
-    return F.concat(F.lit("/evidence/"), "source", F.lit("/"), "lang", F.lit("/"), "doc_id", F.lit("/"), name)
+    base = """element_at(array('svchost.exe', 'explorer.exe', 'iexplore.exe', 'lsass.exe', 'chrome.exe', 'csrss.exe',
+        'firefox.exe', 'winlogon.exe'), int(doc_id % 8) + 1)"""
+    return F.expr(f"""
+        concat('/evidence/', source, '/', lang, '/', doc_id, '/', CASE floor(doc_id / 8) % 7
+            WHEN 0 THEN {base} WHEN 1 THEN concat('0', substr({base}, 2))
+            WHEN 2 THEN substr({base}, 1, length({base}) - 1) WHEN 3 THEN concat({base}, 'x')
+            WHEN 4 THEN concat('00', substr({base}, 3)) WHEN 5 THEN replace({base}, 'r.exe', '.exe')
+            ELSE concat('doc_', doc_id, '.txt') END)""")
 
 
 def artifacts(spark: SparkSession, folder: str) -> DataFrame:
