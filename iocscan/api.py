@@ -30,10 +30,18 @@ _ERROR = SCAN_ERROR.fieldNames()
 
 @dataclass
 class ScanResult:
-    """``findings`` (``schemas.FINDING``) and ``errors`` (``schemas.SCAN_ERROR``), both lazy."""
+    """``findings`` (``schemas.FINDING``) and ``errors`` (``schemas.SCAN_ERROR``), both lazy.
+
+    The listing of a file tree is kept until ``release`` is called.
+    """
 
     findings: DataFrame
     errors: DataFrame
+    kept: DataFrame | None = None
+
+    def release(self) -> None:
+        if self.kept is not None:
+            self.kept.unpersist()
 
 
 def _union(parts: list[DataFrame], spark: SparkSession, schema) -> DataFrame:
@@ -167,13 +175,13 @@ def scan(
     listed = None if iocs is None else digests.HashList.of(iocs)
     small_iocs = listed if listed is not None and listed.small else None
 
-    listing = None
+    listing = kept = None
     if isinstance(artifacts, str):
         listing = names.exclude_names(list_files(spark, artifacts), excluded)
         if rules is not None:
             listing = with_file_types(listing)
         # walked once; a lost block is walked again
-        listing = listing.persist(StorageLevel.MEMORY_AND_DISK)
+        kept = listing = listing.persist(StorageLevel.MEMORY_AND_DISK)
         errors.append(_errors(listing, "path", "", "walk", "error"))
         listing = listing.where(F.col("error").isNull())
         large = listing.where(F.col("length") > chunk_bytes)
@@ -248,4 +256,4 @@ def scan(
             found.append(search(chunked, rules, rule_timeout_s))
     for detector in detectors:
         found.append(detector.detect(table).select(*COLUMNS))
-    return ScanResult(_union(found, spark, FINDING), _union(errors, spark, SCAN_ERROR))
+    return ScanResult(_union(found, spark, FINDING), _union(errors, spark, SCAN_ERROR), kept)

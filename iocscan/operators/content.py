@@ -29,10 +29,14 @@ from iocscan.operators.findings import COLUMNS, exploded, finding, positions_whe
 from iocscan.operators.rules import EXTERNALS, Atom, ByteString, Rule, RuleSet
 from iocscan.schemas import FINDING, STRING_MATCHES, YARA
 
-#: More strings than this are searched in one pass by the automaton.
-NATIVE_STRINGS = 200
+#: More strings than this are searched in one pass by the automaton. Measured:
+#: a native search reads about 330 MB/s and string, the automaton about 40 MB/s
+#: whatever the number of strings.
+NATIVE_STRINGS = 16
 #: From here on a multi-string automaton is faster than one search per string.
-AUTOMATON_STRINGS = 24
+AUTOMATON_STRINGS = 12
+#: Shorter fixed parts of expressions occur too often to be worth a place in it.
+MIN_ANCHOR = 3
 
 CARRIED = (
     "artifact_path", "found_in_file", "unit_id", "value_data", "contained_file",
@@ -179,7 +183,11 @@ def _native_hits(units: DataFrame, rules: RuleSet, keep: list[str]) -> DataFrame
 
 
 class ByteSearch:
-    """All match positions of a set of strings in one byte string."""
+    """All match positions of a set of strings in one byte string.
+
+    Literals and the fixed parts of expressions are found in one pass by an
+    automaton; an expression is only tried where its fixed part occurs.
+    """
 
     def __init__(self, strings: list[ByteString]):
         self.expressions = [s for s in strings if not s.literals]
@@ -187,26 +195,34 @@ class ByteSearch:
         self.compiled = {
             s.index: re.compile(b"(?=(" + s.python.encode("latin-1") + b"))") for s in self.expressions
         }
-        self.automaton = None
-        if len(self.literals) >= AUTOMATON_STRINGS:
-            try:
-                import ahocorasick
-            except ImportError:
-                return
-            by_text: dict[str, list[int]] = {}
-            for data, index in self.literals:
-                by_text.setdefault(data.decode("latin-1"), []).append(index)
-            self.automaton = ahocorasick.Automaton()
-            for text, indexes in by_text.items():
-                self.automaton.add_word(text, (len(text), indexes))
-            self.automaton.make_automaton()
+        anchors = [s for s in self.expressions if s.anchor is not None and len(s.anchor) >= MIN_ANCHOR]
+        self.automaton, self.anchored = None, frozenset()
+        if len(self.literals) + len(anchors) < AUTOMATON_STRINGS:
+            return
+        try:
+            import ahocorasick
+        except ImportError:
+            return
+        words: dict[str, tuple[int, list[int], list[int]]] = {}
+        for data, index in self.literals:
+            words.setdefault(data.decode("latin-1"), (len(data), [], []))[1].append(index)
+        for s in anchors:
+            words.setdefault(s.anchor.decode("latin-1"), (len(s.anchor), [], []))[2].append(s.index)
+        self.anchored = frozenset(s.index for s in anchors)
+        self.automaton = ahocorasick.Automaton()
+        for text, found in words.items():
+            self.automaton.add_word(text, found)
+        self.automaton.make_automaton()
 
     def find(self, data: bytes, deadline: float = math.inf) -> Iterator[tuple[int, int, int]]:
         """(string, start, length) of every match; overlapping ones included."""
+        fixed: set[int] = set()
         if self.automaton is not None:
-            for end, (length, indexes) in self.automaton.iter(data.decode("latin-1")):
+            for end, (length, indexes, anchors) in self.automaton.iter(data.decode("latin-1")):
                 for index in indexes:
                     yield index, end - length + 1, length
+                if anchors:
+                    fixed.update(anchors)
         else:
             for literal, index in self.literals:
                 self._check(deadline)
@@ -215,10 +231,14 @@ class ByteSearch:
                     yield index, at, len(literal)
                     at = data.find(literal, at + 1)
         for s in self.expressions:
+            if s.index in self.anchored:
+                if s.index not in fixed:
+                    continue
+            elif s.anchor is not None and s.anchor not in data:
+                continue
             self._check(deadline)
-            if s.anchor is None or s.anchor in data:
-                for m in self.compiled[s.index].finditer(data):
-                    yield s.index, m.start(1), m.end(1) - m.start(1)
+            for m in self.compiled[s.index].finditer(data):
+                yield s.index, m.start(1), m.end(1) - m.start(1)
 
     @staticmethod
     def _check(deadline: float) -> None:
@@ -404,7 +424,7 @@ def unit_hits(
 
 
 def rule_name(rules: RuleSet, position: Column) -> Column:
-    return F.array(*[F.lit(r.rule_id) for r in rules.rules])[position]
+    return F.lit([r.rule_id for r in rules.rules])[position]
 
 
 def rule_findings(units: DataFrame, rules: RuleSet, deadline_s: float = 240, arrow: bool | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from iocscan.operators.findings import exploded, finding
@@ -36,12 +37,15 @@ class HashList:
         """Look at the list once: a short one is kept as local rows.
 
         Otherwise only its size class and the digest kinds in it are found out;
-        no other digests are computed later.
+        no other digests are computed later. A long list is kept on the executors
+        meanwhile, as it may be costly to derive; lost blocks are derived again.
         """
         limit = min(LOCAL_HASHES, broadcast_limit)
+        iocs = iocs.persist(StorageLevel.MEMORY_AND_DISK)
         rows = iocs.select("algo", "digest").limit(limit + 1).collect()
         if len(rows) <= limit:
             kinds = {r.algo for r in rows}
+            iocs.unpersist()
             table = iocs.sparkSession.createDataFrame(rows, "algo string, digest string")
             return cls(table, [a for a in ALGORITHMS if a in kinds], True)
         kinds = {r.algo for r in iocs.select("algo").distinct().limit(len(ALGORITHMS)).collect()}

@@ -62,6 +62,16 @@ def s1_evidence_scan(spark, folder):
     return files.select("basename", "length", "digest_sha256", "error")
 
 
+@query("s3_scan_files")
+def s3_scan_files(spark, folder):
+    """The table files as evidence for all detectors; columnar files begin and end with a mark."""
+    rules = RuleSet.define(
+        ("columnar", {"$mark": "PAR1"}, "$mark at 0 and #mark > 1"), ("text_file", {"$mark": "PAR1"}, "not $mark"),
+    )
+    found = scan(folder, rules=rules, filename_patterns=["^p", "[.]parquet$"], known_names=["pages.parque", "part.csv"])
+    return found.findings.select("scanner", "rule_name", basename(F.col("found_in_file")).alias("file"))
+
+
 @query("s2_table_artifacts", """
 SELECT path, basename, octet_length(encode(text)) AS length, md5(text) AS md5 FROM artifacts
 """, ctes=(ARTIFACTS,))
