@@ -89,9 +89,12 @@ def one_pass(
         rows = artifacts.select("path", "basename", shown.alias("_digests"), numbers.alias("_numbers"))
     else:
         scanned = scan_units.with_externals(artifacts)
+        raw = F.lit(True) if rule_route is None else rule_route
+        # content that is scanned in another way is not searched here
+        searched = F.col("content") if rule_route is None else F.when(raw, F.col("content"))
         units = scanned.select(
-            "*", shown.alias("_digests"), numbers.alias("_others"),
-            (F.lit(True) if rule_route is None else rule_route).alias("_raw"),
+            *[c for c in scanned.columns if c != "content"], searched.alias("content"),
+            shown.alias("_digests"), numbers.alias("_others"), raw.alias("_raw"),
         )
         hits = rules_on.unit_hits(
             units, rules, keep=["path", "basename", "_digests", "_others", "_raw"], arrow=False
@@ -175,6 +178,9 @@ def scan(
     listed = None if iocs is None else digests.HashList.of(iocs)
     small_iocs = listed if listed is not None and listed.small else None
 
+    def read_ok(files: DataFrame) -> DataFrame:
+        return read_files(files, chunk_bytes).where(F.col("error").isNull()).drop("error")
+
     listing = kept = None
     if isinstance(artifacts, str):
         listing = names.exclude_names(list_files(spark, artifacts), excluded)
@@ -185,10 +191,8 @@ def scan(
         errors.append(_errors(listing, "path", "", "walk", "error"))
         listing = listing.where(F.col("error").isNull())
         large = listing.where(F.col("length") > chunk_bytes)
-        read = read_files(listing, chunk_bytes)
-        errors.append(_errors(read, "path", "", "read", "error"))
-        table = read.where(F.col("error").isNull()).drop("error")
-        name_rows = listing
+        errors.append(_errors(read_files(listing, chunk_bytes), "path", "", "read", "error"))
+        table, name_rows = read_ok(listing), listing
     else:
         table = artifacts if "basename" in artifacts.columns else artifacts.select(
             "*", basename(F.col("path")).alias("basename")
@@ -199,6 +203,20 @@ def scan(
         name_rows = table
 
     plain = scan_units.is_plain(expand_archives, records is not None, registry_values is not None)
+    uncovered = None
+    if rules is not None and registry_values is not None:
+        # hives without values of their own are scanned as raw bytes
+        hives, few = scan_units.covered_hives(registry_values)
+        is_rest = (F.col("filetype") == "reg") & F.col("_covered").isNull()
+        if listing is not None:
+            listing = listing.join(F.broadcast(hives) if few else hives, "path", "left")
+            large, table, name_rows = listing.where(F.col("length") > chunk_bytes), read_ok(listing), listing
+            plain = plain | is_rest
+        elif few:
+            table = table.join(F.broadcast(hives), "path", "left")
+            plain = plain | is_rest
+        else:
+            uncovered = table.where(F.col("filetype") == "reg").join(hives, "path", "left_anti")
     native = rules is not None and not rules_on.uses_arrow(rules) and not details
     by_content = native or small_iocs is not None
     if patterns or watched or by_content:
@@ -221,13 +239,8 @@ def scan(
     if rules is not None:
         sources = [] if native else [table.where(plain)]
         pieces_of = None if listing is None else large.where(plain)
-        if registry_values is not None:
-            hives = (table if listing is None else listing).where(F.col("filetype") == "reg")
-            rest = scan_units.without_values(hives, registry_values)
-            if listing is not None:
-                pieces_of = pieces_of.unionByName(rest.where(F.col("length") > chunk_bytes))
-                rest = read_files(rest, chunk_bytes).where(F.col("error").isNull()).drop("error")
-            sources.append(rest)
+        if uncovered is not None:
+            sources.append(uncovered)
         sources = [scan_units.raw_units(scan_units.with_externals(s)) for s in sources]
         if expand_archives:
             packed = (table if listing is None else listing).where(F.col("filetype").isin(*scan_units.PACKED))

@@ -133,15 +133,7 @@ def is_plain(expand_archives: bool, records: bool = False, registry: bool = Fals
     return ~F.col("filetype").isin(*special) if special else F.lit(True)
 
 
-def route(expand_archives: bool, records: bool = False, registry: bool = False) -> Column:
-    """Name of the way an artifact takes: raw, expand, records or registry."""
-    kind = F.col("filetype")
-    ways = F.when(kind.isin(*PACKED), "expand").when(kind == "evtx", "records").otherwise("registry")
-    return F.when(is_plain(expand_archives, records, registry), "raw").otherwise(ways)
-
-
-def without_values(hives: DataFrame, registry_values: DataFrame) -> DataFrame:
-    """Hives for which there are no values; these are scanned as raw bytes instead."""
-    covered = registry_values.select(F.col("hive").alias("path")).distinct()
-    small = has_at_most(covered, BROADCAST_PATHS)
-    return hives.join(F.broadcast(covered) if small else covered, "path", "left_anti")
+def covered_hives(registry_values: DataFrame) -> tuple[DataFrame, bool]:
+    """The hives for which there are values (``path``, ``_covered``), and whether they are few."""
+    hives = registry_values.select(F.col("hive").alias("path")).distinct()
+    return hives.withColumn("_covered", F.lit(True)), has_at_most(hives, BROADCAST_PATHS)

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from iocscan.api import scan
+from iocscan.operators import units
 from iocscan.operators.content import chunked_findings_with_matches, rule_findings, rule_findings_with_matches, string_matches
 from iocscan.operators.expand import expand
 from iocscan.operators.leaves import string_leaves
@@ -100,8 +101,11 @@ def test_chunks_give_the_same_as_whole_files(spark, tmp_path):
         first = [(r.rule_name, r.found_in_file) for r in found.where("part = 0").collect()]
         assert sorted(first) == sorted(verdicts)
         assert {(r.rule_name, r.found_in_file) for r in rule_findings(pieces, rules).collect()} == verdicts
-    bare = chunked_findings_with_matches(pieces, rules).where("part = 0 and rule_name = 'any'").first()
-    assert [s.identifier for s in bare.strings] == ["$c"]
+    matched = {(file, string) for rule, file, string, *_ in expected if rule == "any"}
+    for r in chunked_findings_with_matches(pieces, rules).where("part = 0 and rule_name = 'any'").collect():
+        assert [s.identifier for s in r.strings] == [
+            x for x in ("$a", "$b", "$c") if (r.found_in_file, x) not in matched
+        ]
 
 
 def test_scan_with_large_files(spark, evidence):
@@ -177,8 +181,8 @@ def test_strings_in_two_leaves_do_not_add_up(spark):
         "file string, record_id long, data string",
     )
     rules = RuleSet.define(("both", {"$a": "one", "$b": "two"}, "all of them"))
-    units, _ = record_units(records, 4, rules)
-    assert [r.value_data for r in rule_findings(units, rules).collect()] == ['{"a":"one two"}']
+    leaves, _ = record_units(records, 4, rules)
+    assert [r.value_data for r in rule_findings(leaves, rules).collect()] == ['{"a":"one two"}']
 
 
 def test_registry_units(spark):
@@ -193,7 +197,7 @@ def test_registry_units(spark):
     ]
 
 
-def test_hives_without_values_are_scanned_raw(spark):
+def test_hives_without_values_are_scanned_raw(spark, tmp_path, monkeypatch):
     table = spark.createDataFrame(
         [("/h1", bytearray(b"regf secret")), ("/h2", bytearray(b"regf secret"))], "path string, content binary"
     )
@@ -203,7 +207,17 @@ def test_hives_without_values_are_scanned_raw(spark):
     )
     rules = RuleSet.define(("r", {"$a": "secret"}, "$a"))
     assert names(scan(table, rules=rules)) == {"/h1", "/h2"}
-    assert names(scan(table, rules=rules, registry_values=values)) == {"/h2"}
+    for details in (False, True):
+        for limit in (10, 0):
+            monkeypatch.setattr(units, "BROADCAST_PATHS", limit)
+            assert names(scan(table, rules=rules, registry_values=values, details=details)) == {"/h2"}
+    for name in ("h1", "h2"):
+        (tmp_path / name).write_bytes(b"regf secret")
+    own = values.withColumn("hive", F.lit(f"{tmp_path}/h1"))
+    for size in (4, 1000):
+        found = scan(str(tmp_path), rules=rules, registry_values=own, chunk_bytes=size)
+        assert names(found) == {f"{tmp_path}/h2"}
+        found.release()
 
 
 def test_rule_folder(spark, tmp_path):
