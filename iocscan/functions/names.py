@@ -33,10 +33,31 @@ def one_edit_apart(left: Column, right: Column) -> Column:
     return (F.abs(F.length(left) - F.length(right)) <= 1) & (F.levenshtein(left, right, 1) == 1)
 
 
-def deletion_neighbourhood(name: Column) -> Column:
-    """The name and all strings made from it by deleting one character, each once."""
-    shorter = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))),
-        lambda i: F.concat(F.substring(name, F.lit(1), i - 1), F.substring(name, i + 1, F.length(name))),
+#: Marks of the strings in ``edit_keys``; positions are counted from 1.
+WHOLE, SHORTENED = -1, -2
+
+
+def edit_keys(name: Column, whole: int, shortened: int) -> Column:
+    """Array of (variant, mark) by which names one edit apart can be joined.
+
+    For each position there is the name without that character, marked with the
+    position: two names that differ in one character share exactly one of these.
+    The name itself and its one-character deletions (each once) carry the given
+    marks, to be matched crosswise with those of the longer or shorter name.
+    """
+    places = F.when(F.length(name) > 0, F.sequence(F.lit(1), F.length(name))).otherwise(F.array().cast("array<int>"))
+
+    def without(i: Column) -> Column:
+        return F.concat(F.substring(name, F.lit(1), i - 1), F.substring(name, i + 1, F.length(name)))
+
+    def first_of_run(i: Column) -> Column:
+        return (i == 1) | (F.substring(name, i, F.lit(1)) != F.substring(name, i - 1, F.lit(1)))
+
+    return F.concat(
+        F.array(F.struct(name.alias("variant"), F.lit(whole).alias("mark"))),
+        F.transform(places, lambda i: F.struct(without(i).alias("variant"), i.alias("mark"))),
+        F.transform(
+            F.filter(places, first_of_run),
+            lambda i: F.struct(without(i).alias("variant"), F.lit(shortened).alias("mark")),
+        ),
     )
-    return F.array_distinct(F.concat(F.array(name), F.when(F.length(name) > 0, shorter).otherwise(F.array(name))))

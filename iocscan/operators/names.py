@@ -6,16 +6,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from iocscan.functions.names import deletion_neighbourhood, one_edit_apart
-from iocscan.operators.findings import finding
+from iocscan.functions.names import SHORTENED, WHOLE, edit_keys, one_edit_apart
+from iocscan.operators.findings import exploded, finding
 from iocscan.schemas import FILENAME, LEVENSHTEIN
 from iocscan.session import has_at_most
 
 #: Watch-lists up to this size become one expression per row, larger ones a join.
 INLINE_NAMES = 64
 #: Watch-lists up to this size are broadcast, larger ones are shuffled. With
-#: about a dozen short variants per name this stays well under 200 MB.
-BROADCAST_NAMES = 200_000
+#: about thirty short keys per name this stays well under 100 MB.
+BROADCAST_NAMES = 20_000
 #: Copies of a near-miss pair in the join back to the files.
 SALTS = 16
 
@@ -41,16 +41,20 @@ def name_tests(patterns: Sequence[tuple[str, str]], watched: Sequence[str]) -> l
 def near_miss_pairs(names: DataFrame, known: DataFrame, broadcast: bool) -> DataFrame:
     """(basename, known) pairs one edit apart, as an equi-join.
 
-    Two strings are at most one edit apart only if they share a string among
-    themselves and their one-character deletions. For a distance of exactly one
-    that shared string is unique, so each pair comes out once and no
-    ``distinct`` is needed after the join.
+    Names of equal length meet on the string that is left without the character
+    in which they differ, at its position; names of different length meet where
+    one is a deletion of the other. Every pair comes out exactly once, and apart
+    from equal names nothing else meets, so neither a distance nor a ``distinct``
+    is needed after the join.
     """
-    left = names.select("basename", F.explode(deletion_neighbourhood(F.col("basename"))).alias("variant"))
-    right = known.select("known", F.explode(deletion_neighbourhood(F.col("known"))).alias("variant"))
+    left = exploded(names, edit_keys(F.col("basename"), WHOLE, SHORTENED), "key", "basename")
+    right = exploded(known, edit_keys(F.col("known"), SHORTENED, WHOLE), "key", "known").select(
+        "known", "key.variant", "key.mark"
+    )
     return (
-        left.join(F.broadcast(right) if broadcast else right, "variant")
-        .where(one_edit_apart(F.col("basename"), F.col("known")))
+        left.select("basename", "key.variant", "key.mark")
+        .join(F.broadcast(right) if broadcast else right, ["variant", "mark"])
+        .where(F.col("basename") != F.col("known"))
         .select("basename", "known")
     )
 
@@ -61,10 +65,15 @@ def near_misses(artifacts: DataFrame, known: DataFrame) -> DataFrame:
     Names are made distinct first (partial aggregation absorbs a name that very
     many files carry), and the pairs found are joined back to the files.
     """
+    # Each name grows to some thirty keys. Adaptive execution would put the few
+    # bytes of the distinct names into very few tasks; a fixed number is not merged.
+    tasks = int(artifacts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = known.select("known").distinct()
     small = has_at_most(known, BROADCAST_NAMES)
     files = artifacts.select("path", "basename")
-    pairs = near_miss_pairs(files.select("basename").distinct(), known, small)
+    pairs = near_miss_pairs(
+        files.select("basename").distinct().repartition(tasks), known if small else known.repartition(tasks), small
+    )
     # a name that very many files carry is spread over several tasks
     salted = pairs.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     hits = files.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")).join(
