@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,23 +18,79 @@ _MULTIPLIERS = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
      0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 _MIX_1, _MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-#: Words whose hash a worker remembers; a bound on memory only.
-_REMEMBERED = 400_000
 #: Ids up to which a side of a semi join is broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
 
 
-class WordHasher(dict):
-    """64-bit hashes of words (bytes), remembered between calls."""
+def fold_table(separators: str) -> bytes:
+    """For ``bytes.translate``: ASCII letters to lower case, the given ASCII signs to a space."""
+    gone = separators.encode()
+    return bytes(0x20 if c in gone else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
 
-    def all(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+#: Words are what lies between white space.
+WHITE = fold_table(" \t\n\x0b\x0c\r")
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_BYTE_VALUES = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+#: Bytes that are hashed at a time; a longer text is hashed alone.
+_STRETCH = 1 << 18
+
+
+@lru_cache(maxsize=4)
+def _stretch_powers(base: int) -> np.ndarray:
+    out = np.full(_STRETCH + 1, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """Powers 0 to n - 1."""
+    if n <= _STRETCH + 1:
+        return _stretch_powers(int(base))[:n]
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def word_hashes(texts: list[bytes], fold: bytes = WHITE) -> list[np.ndarray]:
+    """64-bit hashes of the words of each text, which are runs of bytes that ``fold`` doesn't make a space.
+
+    A word's hash is a polynomial over its bytes, taken from running sums over many texts at once, and mixed.
+    """
+    out: list[np.ndarray] = []
+    first = size = 0
+    for i, text in enumerate(texts):
+        if size and size + len(text) + 1 > _STRETCH:
+            out += _stretch_hashes(texts[first:i], fold)
+            first, size = i, 0
+        size += len(text) + 1
+    return out + (_stretch_hashes(texts[first:], fold) if first < len(texts) else [])
+
+
+def _stretch_hashes(texts: list[bytes], fold: bytes) -> list[np.ndarray]:
+    data = np.frombuffer(b" ".join([*texts, b""]).translate(fold), np.uint8)
+    inside = np.zeros(len(data) + 2, bool)
+    np.not_equal(data, 0x20, out=inside[1:-1])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[0::2], edges[1::2]
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE_VALUES[data] * _powers(_ODD, len(data)), out=sums[1:])
+    found = mix((sums[ends] - sums[starts]) * _powers(_INVERSE, len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
+    offsets = np.cumsum([0, *[len(t) + 1 for t in texts]])
+    return np.split(found, np.searchsorted(starts, offsets[1:-1]))
+
+
+def sorted_unique(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    if len(values) < 2:
+        return values
+    keep = np.empty(len(values), bool)
+    keep[0] = True
+    np.not_equal(values[1:], values[:-1], out=keep[1:])
+    return values[keep]
 
 
 def mix(values: np.ndarray) -> np.ndarray:
@@ -66,7 +122,7 @@ def binary_values(column: pa.Array) -> list[bytes]:
     return [value or b"" for value in column.cast(kind).to_pylist()]
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most_bytes`` at most (one row at least)."""
     for batch in batches:
         step = max(1, int(batch.num_rows * most_bytes / max(batch.nbytes, 1)))
@@ -140,7 +196,7 @@ def linked_groups(
     ``members`` has (bucket, member, first): first is the smallest member of its bucket, and
     member numbers are hashes, so that their order is random. ``verify`` gets pairs (a, b) and
     returns the linked ones. Round 0 tests everyone against the first of the bucket. Round r
-    tests against about 2**r leaders of each bucket, the members with the smallest numbers,
+    tests against about 16**r leaders of each bucket, the members with the smallest numbers,
     but only pairs whose ends are not yet connected; the last round has everyone as leader. So
     every pair in a bucket is tested or already connected: components are exact, a group of k
     copies costs about k tests, and only pairs of truly unlinked texts are tested one by one.
@@ -160,8 +216,8 @@ def linked_groups(
         now = now.join(mixed.select("bucket"), "bucket")
         # share of the 64-bit range below the member's number, times the size
         rank = (F.col("member") / F.lit(2.0 ** 64) + F.lit(0.5)) * F.col("size")
-        after = 2 * reach
-        leader = now.where((rank <= 2 * after) & ((rank > reach) | F.lit(reach == 1)))
+        after = 16 * reach
+        leader = now.where((rank <= after) & ((rank > reach) | F.lit(reach == 1)))
         leader = leader.select("bucket", F.col("member").alias("a"), F.col("component").alias("ca"))
         pairs = (
             now.join(leader, "bucket").where("a < member and component <> ca")
@@ -172,5 +228,5 @@ def linked_groups(
             links = cut(links.union(verify(pairs)), "links")
         elif not mixed.take(1):
             break
-        reach = 2 * after
+        reach = after
     return links

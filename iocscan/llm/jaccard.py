@@ -20,13 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    WordHasher, binary_values, cut, components, linked_groups, mix, only_ids, shingle_hashes, signed,
-    small_batches, texts_of,
+    binary_values, components, cut, linked_groups, mix, only_ids, shingle_hashes, signed, small_batches, sorted_unique,
+    texts_of, word_hashes,
 )
 
-_HASHES = WordHasher()
-
-
 @lru_cache(maxsize=4)
 def _bands(percent: int) -> list[int]:
     """Lower ends of size bands, so wide that linked sizes lie in one band or in neighbours."""
@@ -41,9 +38,9 @@ def _most_different(total: int, percent: int) -> int:
     return total * (100 - percent) // (100 + percent)
 
 
-def shingles(text: bytes, size: int) -> np.ndarray:
-    """Sorted distinct shingle hashes of a text: ASCII lower case, split at ASCII white space."""
-    return np.unique(shingle_hashes(_HASHES.all(text.lower().split()), size))
+def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text: ASCII lower case, split at ASCII white space."""
+    return [sorted_unique(shingle_hashes(words, size)) for words in word_hashes(texts)]
 
 
 def _identity(found: np.ndarray) -> int:
@@ -54,7 +51,7 @@ def _identity(found: np.ndarray) -> int:
 
 def sketch(found: np.ndarray, words: int) -> np.ndarray:
     """Parity sketch of ``words`` 64-bit words: every element flips one bit."""
-    places = (mix(found ^ np.uint64(words)) % np.uint64(words * 64)).astype(np.int64)
+    places = (((found >> np.uint64(32)) * np.uint64(words * 64)) >> np.uint64(32)).astype(np.int64)
     odd = (np.bincount(places, minlength=words * 64) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").view(np.uint64)
 
@@ -76,7 +73,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     """(id, n_shingles, member): member names the set; null where it is empty."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            found = [shingles(t, size) for t in binary_values(batch.column("text"))]
+            found = shingle_sets(binary_values(batch.column("text")), size)
             yield pa.RecordBatch.from_arrays([
                 batch.column("id"), pa.array([len(x) for x in found], pa.int64()),
                 pa.array([_identity(x) if len(x) else None for x in found], pa.int64()),
@@ -87,10 +84,9 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 def _sketch_words(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(bucket, member): one row for each sketch word of each document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 2 << 20):
+        for batch in small_batches(batches):
             keys, names = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-            for text in binary_values(batch.column("text")):
-                found = shingles(text, size)
+            for found in shingle_sets(binary_values(batch.column("text")), size):
                 if len(found):
                     keys.append(_keys(found, percent))
                     names.append(np.full(len(keys[-1]), _identity(found), np.int64))
@@ -99,33 +95,61 @@ def _sketch_words(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "bucket long, member long")
 
 
+#: Words of the sketch by which pairs are looked at before their texts are.
+_SHORT = 16
+
+
+def _near(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and the distance of short sketches, a lower bound, leave possible."""
+    def side(name: str) -> DataFrame:
+        return texts.select(F.col("member").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"sketch_{name}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [
+                np.frombuffer(b"".join(binary_values(batch.column(f"sketch_{x}"))), np.uint64).reshape(-1, _SHORT) for x in "ab"]
+            differ = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
+            total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            yield batch.select(["a", "b"]).filter(pa.array((100 + percent) * differ <= (100 - percent) * total))
+    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(
+        100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    return sized.mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The linked ones of ``pairs`` (a, b), by the exact shingle sets of their texts (member, text)."""
+    """The linked ones of ``pairs`` (a, b), by the exact shingle sets of their texts (member, n, sketch, text)."""
+    pairs = cut(_near(pairs, texts, percent), "near")
     left = texts.select(F.col("member").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("member").alias("b"), F.col("text").alias("text_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, last = zstandard.ZstdDecompressor().decompress, (b"", None)
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, 1 << 20):
             keep = []
-            for x, y in zip(binary_values(batch.column("text_a")), binary_values(batch.column("text_b")), strict=True):
+            firsts, seconds = binary_values(batch.column("text_a")), binary_values(batch.column("text_b"))
+            for x, two in zip(firsts, shingle_sets([unpack(y) for y in seconds], size), strict=True):
                 if last[0] != x:
-                    last = (x, shingles(unpack(x), size))
-                one, two = last[1], shingles(unpack(y), size)
+                    last = (x, shingle_sets([unpack(x)], size)[0])
+                one = last[1]
                 common = len(np.intersect1d(one, two, assume_unique=True))
                 keep.append(100 * common >= percent * (len(one) + len(two) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _packed(docs: DataFrame) -> DataFrame:
+def _packed(docs: DataFrame, size: int) -> DataFrame:
+    """(member, n, sketch, text): what verifying needs, packed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in small_batches(batches):
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("member"), pa.array([pack(t) for t in binary_values(batch.column("text"))], pa.binary())],
-                names=["member", "text"])
-    return docs.mapInArrow(run, "member long, text binary")
+            texts = binary_values(batch.column("text"))
+            found = shingle_sets(texts, size)
+            yield pa.RecordBatch.from_arrays([
+                batch.column("member"), pa.array([len(x) for x in found], pa.int64()),
+                pa.array([sketch(x, _SHORT).tobytes() for x in found], pa.binary()),
+                pa.array([pack(t) for t in texts], pa.binary()),
+            ], names=["member", "n", "sketch", "text"])
+    return docs.mapInArrow(run, "member long, n long, sketch binary, text binary")
 
 
 def similar_documents(
@@ -150,7 +174,7 @@ def similar_documents(
     named = sets.where("member is not null").groupBy("member").agg(F.min("id").alias("id"))
     needed = cut(named.join(members.select("member").distinct(), "member").where("id is not null"), "needed")
     texts = only_ids(docs, needed.select("id"), "id").join(needed, "id").dropDuplicates(["member"]).select("member", "text")
-    texts = cut(_packed(texts), "texts")
+    texts = cut(_packed(texts, size), "texts")
     links = linked_groups(members, lambda pairs: _verified(pairs, texts, size, percent))
     groups = components(links)
 
