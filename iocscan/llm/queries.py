@@ -35,3 +35,31 @@ def op1(spark, folder):
     from .jaccard import similar_documents
     found = similar_documents(_table(spark, folder, "documents"), size=3, percent=90)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+@_query("op2_benchmark_decontamination")
+def op2(spark, folder):
+    from .decontaminate import contaminated_spans
+    found = contaminated_spans(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["length"])
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+@_query("op3_best_fit_packing")
+def op3(spark, folder):
+    import public_tokenizers
+
+    from .packing import pack_documents
+    packed = pack_documents(_table(spark, folder, "documents"), tokenizer=public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select(
+        F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"),
+        F.col("sequence").alias("sequence_id"), "offset")
+
+
+@_query("op5_html_extraction")
+def op5(spark, folder):
+    from .htmltext import extract_main_text
+    found = extract_main_text(_table(spark, folder, "pages"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
