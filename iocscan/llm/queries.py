@@ -63,3 +63,50 @@ def op5(spark, folder):
     from .htmltext import extract_main_text
     found = extract_main_text(_table(spark, folder, "pages"))
     return found.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@_query("op4_document_fingerprints")
+def op4(spark, folder):
+    from .fingerprints import as_text, fingerprints, resemblance, with_next
+    docs = _table(spark, folder, "documents").select(
+        F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = with_next(fingerprints(docs), ["text", "sketch"])
+    n_chars = F.char_length("text")
+    third = F.floor(n_chars / 3).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), n_chars - third), F.substring(F.col("next.text"), F.lit(1), third))
+    docs = docs.select("id", "sketch", F.col("next.sketch").alias("next_sketch"), n_chars.cast("long").alias("n_chars"), edited.alias("edited"))
+    docs = fingerprints(docs, "edited", name="edited_sketch")
+    return docs.select(
+        F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        as_text(F.col("sketch")).alias("fingerprint"), as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
+
+
+def _labelled(spark, folder, label):
+    """Documents with a label that may be learned from."""
+    from .toxicity import held_out
+    labels = _table(spark, folder, "labels").select("doc_id", F.col(label).alias("label"))
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return docs.where(~held_out(F.col("doc_id"))).join(labels, "doc_id").select("text", "label")
+
+
+def _scored(docs, name, least):
+    from .toxicity import held_out
+    return docs.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(name).alias("score"),
+        (F.col(name) >= least).cast("int").alias("predicted"))
+
+
+@_query("op8_toxicity")
+def op8(spark, folder):
+    from .toxicity import learn_lexicon, score_toxicity
+    lexicon = learn_lexicon(_labelled(spark, folder, "toxic"))
+    return _scored(score_toxicity(_table(spark, folder, "documents").select("doc_id", "text"), lexicon), "toxicity", 0.7)
+
+
+@_query("op9_quality_classifier")
+def op9(spark, folder):
+    from .quality import learn_quality, score_quality
+    model = learn_quality(_labelled(spark, folder, "quality"))
+    return _scored(score_quality(_table(spark, folder, "documents").select("doc_id", "text"), model), "quality", 0.5)
