@@ -110,3 +110,13 @@ def op9(spark, folder):
     from .quality import learn_quality, score_quality
     model = learn_quality(_labelled(spark, folder, "quality"))
     return _scored(score_quality(_table(spark, folder, "documents").select("doc_id", "text"), model), "quality", 0.5)
+
+
+@_query("op10_suffix_array_dedup")
+def op10(spark, folder):
+    from .substrings import remove_repeats
+    found = remove_repeats(_table(spark, folder, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    return found.select(
+        F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
