@@ -120,3 +120,14 @@ def op10(spark, folder):
     return found.select(
         F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_query("op7_lm_scoring")
+def op7(spark, folder):
+    from .ngrams import score_texts
+    from .toxicity import held_out
+    kept_back = held_out(F.col("doc_id"), 5)
+    found = score_texts(_table(spark, folder, "documents"), ~kept_back)
+    return found.select(
+        F.col("id").alias("doc_id"), held_out(F.col("id"), 5).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+        "base_score", "score")
