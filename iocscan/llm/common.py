@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare, work_folder
@@ -189,44 +189,56 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def linked_groups(
-    members: DataFrame, verify: Callable[[DataFrame], DataFrame],
+    members: DataFrame, looks: DataFrame, may_link: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
-    """Links that connect what ``verify`` accepts among the members of each bucket, without testing all pairs.
-
-    ``members`` has (bucket, member, first): first is the smallest member of its bucket, and
-    member numbers are hashes, so that their order is random. ``verify`` gets pairs (a, b) and
-    returns the linked ones. Round 0 tests everyone against the first of the bucket. Round r
-    tests against about 16**r leaders of each bucket, the members with the smallest numbers,
-    but only pairs whose ends are not yet connected; the last round has everyone as leader. So
-    every pair in a bucket is tested or already connected: components are exact, a group of k
-    copies costs about k tests, and only pairs of truly unlinked texts are tested one by one.
+    """Links (a, b) that connect what ``verify`` accepts among the members of each bucket, without testing all pairs.
+
+    ``members`` has (bucket, member), each once; member numbers are hashes, so that their order is random. ``looks`` has
+    (member, look): something small of each member, a struct, by which ``may_link`` rules out pairs that
+    cannot be linked. ``verify`` gets pairs (a, b) and returns the linked ones.
+
+    Round 0 tests everyone against the most central of the bucket, the member with the most company in all its buckets. Each further round
+    tests against about 64 times as many leaders of each bucket, members with the smallest numbers, but only
+    pairs whose ends are not yet connected and which ``may_link`` leaves; the last round has everyone as leader. So
+    every pair in a bucket is tested, ruled out or already connected, and components are exact. A group of k
+    copies costs about k tests, and pairs that are ruled out are never rows.
     """
-    links = cut(verify(members.where("member <> first").select(F.col("first").alias("a"), F.col("member").alias("b")).distinct()), "links")
-    sizes = cut(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 2"), "sizes")
-    most = sizes.agg(F.max("size")).first()[0]
-    reach = 1
-    while most is not None and reach < most:
-        label = components(links)
+    sizes = cut(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    company = cut(members.join(sizes, "bucket").groupBy("member").agg(F.sum("size").alias("company")).join(looks, "member"), "company")
+    first = members.join(company.select("member", "company"), "member").groupBy("bucket").agg(
+        F.max(F.struct("company", "member")).alias("first"))
+    pairs = members.join(first, "bucket").select(F.col("first.member").alias("a"), F.col("member").alias("b")).where("a <> b")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    one, two = (company.select(F.col("member").alias(x), F.col("look").alias(f"look_{x}")) for x in "ab")
+    pairs = pairs.join(one, "a").join(two, "b").where(may_link(F.col("look_a"), F.col("look_b"))).select("a", "b")
+    links = cut(verify(pairs), "links")
+
+    label = None
+    most = sizes.agg(F.max("size")).first()[0] or 0
+    reach = 2 if most <= 2 else 1
+    while reach < most:
+        label = label or components(links)
         now = (
-            members.join(sizes, "bucket").join(label.withColumnRenamed("node", "member"), "member", "left")
+            members.join(sizes.where("size > 2"), "bucket").join(label.withColumnRenamed("node", "member"), "member", "left")
             .select("bucket", "size", "member", F.coalesce("component", "member").alias("component"))
         )
         now = cut(now, "state")
         mixed = now.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
-        now = now.join(mixed.select("bucket"), "bucket")
+        now = cut(now.join(mixed.select("bucket"), "bucket").join(company.select("member", "look"), "member"), "mixed")
+        if not now.take(1):
+            break
         # share of the 64-bit range below the member's number, times the size
         rank = (F.col("member") / F.lit(2.0 ** 64) + F.lit(0.5)) * F.col("size")
-        after = 16 * reach
+        after = 64 * reach
         leader = now.where((rank <= after) & ((rank > reach) | F.lit(reach == 1)))
-        leader = leader.select("bucket", F.col("member").alias("a"), F.col("component").alias("ca"))
+        leader = leader.select("bucket", F.col("member").alias("a"), F.col("component").alias("ca"), F.col("look").alias("look_a"))
         pairs = (
-            now.join(leader, "bucket").where("a < member and component <> ca")
-            .select("a", F.col("member").alias("b")).distinct()
+            now.join(leader, (now["bucket"] == leader["bucket"]) & (F.col("a") < now["member"]) & (now["component"] != F.col("ca"))
+                     & may_link(F.col("look_a"), now["look"]))
+            .select("a", now["member"].alias("b")).distinct()
         )
-        pairs = cut(pairs, "pairs")
-        if pairs.take(1):
-            links = cut(links.union(verify(pairs)), "links")
-        elif not mixed.take(1):
-            break
+        more = cut(verify(pairs), "links")
+        if more.take(1):
+            links, label = links.union(more), None
         reach = after
     return links

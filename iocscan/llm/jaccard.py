@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
@@ -95,30 +95,21 @@ def _sketch_words(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "bucket long, member long")
 
 
-#: Words of the sketch by which pairs are looked at before their texts are.
+#: Words of the short sketch by which pairs are looked at before their texts are.
 _SHORT = 16
 
 
-def _near(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that sizes and the distance of short sketches, a lower bound, leave possible."""
-    def side(name: str) -> DataFrame:
-        return texts.select(F.col("member").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"sketch_{name}"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits = [
-                np.frombuffer(b"".join(binary_values(batch.column(f"sketch_{x}"))), np.uint64).reshape(-1, _SHORT) for x in "ab"]
-            differ = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
-            total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-            yield batch.select(["a", "b"]).filter(pa.array((100 + percent) * differ <= (100 - percent) * total))
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(
-        100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    return sized.mapInArrow(run, "a long, b long")
+def _may_link(a: Column, b: Column, percent: int) -> Column:
+    """Whether sizes and the distance of short sketches, a lower bound, leave it possible that two sets are linked."""
+    differ = sum((F.bit_count(a[f"s{i}"].bitwiseXOR(b[f"s{i}"])) for i in range(1, _SHORT)), F.bit_count(a["s0"].bitwiseXOR(b["s0"])))
+    small, large = F.least(a["n"], b["n"]), F.greatest(a["n"], b["n"])
+    return (100 * small >= percent * large) & ((100 + percent) * differ <= (100 - percent) * (small + large))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The linked ones of ``pairs`` (a, b), by the exact shingle sets of their texts (member, n, sketch, text)."""
-    pairs = cut(_near(pairs, texts, percent), "near")
+    """The linked ones of ``pairs`` (a, b), by the exact shingle sets of their texts (member, text)."""
+    pairs = cut(pairs, "pairs")
+    texts = only_ids(texts.select("member", "text"), pairs.select(F.col("a").alias("member")).union(pairs.select("b")).distinct(), "member")
     left = texts.select(F.col("member").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("member").alias("b"), F.col("text").alias("text_b"))
 
@@ -138,18 +129,22 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
 
 def _packed(docs: DataFrame, size: int) -> DataFrame:
-    """(member, n, sketch, text): what verifying needs, packed."""
+    """(member, look, text): what looking at and verifying pairs needs."""
+    look = pa.struct([("n", pa.int64()), *[(f"s{i}", pa.int64()) for i in range(_SHORT)]])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in small_batches(batches):
             texts = binary_values(batch.column("text"))
             found = shingle_sets(texts, size)
+            bits = np.array([signed(sketch(x, _SHORT)) for x in found]).reshape(-1, _SHORT)
+            columns = [np.array([len(x) for x in found], np.int64), *bits.T]
             yield pa.RecordBatch.from_arrays([
-                batch.column("member"), pa.array([len(x) for x in found], pa.int64()),
-                pa.array([sketch(x, _SHORT).tobytes() for x in found], pa.binary()),
+                batch.column("member"), pa.StructArray.from_arrays([pa.array(c) for c in columns], fields=list(look)),
                 pa.array([pack(t) for t in texts], pa.binary()),
-            ], names=["member", "n", "sketch", "text"])
-    return docs.mapInArrow(run, "member long, n long, sketch binary, text binary")
+            ], names=["member", "look", "text"])
+    words = ",".join(f"s{i}:long" for i in range(_SHORT))
+    return docs.mapInArrow(run, f"member long, look struct<n:long,{words}>, text binary")
 
 
 def similar_documents(
@@ -169,13 +164,14 @@ def similar_documents(
     sets = cut(_sets(docs, size), "sets")
     words = _sketch_words(docs, size, percent)
     shared = words.groupBy("bucket").agg(F.min("member").alias("first"), F.max("member").alias("last")).where("first <> last")
-    members = cut(words.join(shared.select("bucket", "first"), "bucket").distinct(), "members")
+    members = cut(words.join(shared.select("bucket"), "bucket").distinct(), "members")
 
     named = sets.where("member is not null").groupBy("member").agg(F.min("id").alias("id"))
     needed = cut(named.join(members.select("member").distinct(), "member").where("id is not null"), "needed")
     texts = only_ids(docs, needed.select("id"), "id").join(needed, "id").dropDuplicates(["member"]).select("member", "text")
     texts = cut(_packed(texts, size), "texts")
-    links = linked_groups(members, lambda pairs: _verified(pairs, texts, size, percent))
+    links = linked_groups(
+        members, texts.select("member", "look"), lambda a, b: _may_link(a, b, percent), lambda pairs: _verified(pairs, texts, size, percent))
     groups = components(links)
 
     label = named.join(groups.withColumnRenamed("node", "member"), "member", "left").select(
