@@ -138,10 +138,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def texts_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Just ``id`` and ``text``: other columns, whatever their names, play no part."""
+def texts_of(df: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Just ``id`` and ``text``, and the columns ``carry`` in a struct ``row``: others, whatever their names, play no part."""
     prepare(df.sparkSession)
-    return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    row = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []
+    return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *row)
+
+
+def without_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Rows of ``df`` whose ``column`` is not in ``ids``, null included; broadcast only after a look at their number."""
+    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if small else ids, column, "left_anti")
 
 
 def only_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:

@@ -131,3 +131,12 @@ def op7(spark, folder):
     return found.select(
         F.col("id").alias("doc_id"), held_out(F.col("id"), 5).alias("held_out"), "n_tokens", "n_known", "train_tokens",
         "base_score", "score")
+
+
+@_query("op6_line_dedup")
+def op6(spark, folder):
+    from .lines import deduplicate_lines
+    found = deduplicate_lines(_table(spark, folder, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_lines", "n_kept", F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2("text", 256).alias("text_sha256"))

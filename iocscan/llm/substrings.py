@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE_VALUES, _INVERSE, _ODD, _powers, binary_values, cut, mix, only_ids, shuffle_count, signed, small_batches, texts_of
+from .common import _BYTE_VALUES, _INVERSE, _ODD, _powers, binary_values, cut, mix, only_ids, shuffle_count, signed, small_batches, texts_of, without_ids
 
 #: Bytes of a k-mer, and of text that are looked at at a time (a bound on memory; pieces overlap by a window).
 KMER, PIECE = 24, 1 << 17
@@ -250,8 +250,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     docs = _keyed(texts_of(docs, id_col, text_col))
     spans = _spans_by_text(docs, length)
     keys = spans.select("key")
-    small = keys.limit(1_000_001).count() <= 1_000_000
-    clean = docs.join(F.broadcast(keys) if small else keys, "key", "left_anti").select(
+    clean = without_ids(docs, keys, "key").select(
         "id", "text", F.array().cast("array<struct<start:long,end:long>>").alias("spans"))
     hit = only_ids(docs, keys, "key").join(spans, "key").select("id", "text", "spans")
 
