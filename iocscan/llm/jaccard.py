@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    binary_values, components, cut, linked_groups, mix, only_ids, shingle_hashes, signed, small_batches, sorted_unique,
+    BROADCAST_IDS, binary_values, components, cut, linked_groups, mix, only_ids, shingle_hashes, signed, small_batches, sorted_unique,
     texts_of, word_hashes,
 )
 
@@ -168,8 +168,11 @@ def similar_documents(
 
     named = sets.where("member is not null").groupBy("member").agg(F.min("id").alias("id"))
     needed = cut(named.join(members.select("member").distinct(), "member").where("id is not null"), "needed")
-    texts = only_ids(docs, needed.select("id"), "id").join(needed, "id").dropDuplicates(["member"]).select("member", "text")
+    n_needed = needed.count()
+    texts = docs.join(F.broadcast(needed) if n_needed <= BROADCAST_IDS else needed, "id").select("member", "text")
     texts = cut(_packed(texts, size), "texts")
+    if texts.count() > n_needed:  # rows with an equal id
+        texts = cut(texts.dropDuplicates(["member"]), "texts")
     links = linked_groups(
         members, texts.select("member", "look"), lambda a, b: _may_link(a, b, percent), lambda pairs: _verified(pairs, texts, size, percent))
     groups = components(links)
