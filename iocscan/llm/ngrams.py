@@ -29,7 +29,7 @@ CHUNK_BYTES, SHARD_BYTES = 8 << 20, 12 << 20
 #: What is taken off every count of a pair, for words that did not follow the context.
 DISCOUNT = 0.8
 #: Steps of a halving in which probabilities are kept, and the mark of a pair that was not seen.
-_STEPS, _UNSEEN = 512, 65535
+_STEPS, _UNSEEN = 1400, 65535
 #: The hashes that stand for the begin and the end of a text, and one that is no word's.
 _BEGIN, _END, _NONE = np.uint64(0x0B), np.uint64(0x0E), np.uint64(0x0D)
 #: Values of an Elias-Fano sequence between two entry points.

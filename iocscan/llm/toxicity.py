@@ -78,7 +78,7 @@ def fold(text: str) -> str:
     words = []
     for word in text.translate(_FOLDING).split():
         if not word.isalpha():
-            core = word.strip("@$'’")
+            core = word.strip("'’").rstrip("@$")
             if not any(map(str.isalpha, core)):
                 continue  # a number
             word = core.translate(_LETTERS)
