@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 from iocscan.plans.catalog import QUERIES  # noqa: E402
 
 HEADLINE = (
-    "j1_hash_all", "j1_hash_large_list", "j2_filename_regex", "j3_levenshtein", "j3_levenshtein_scaled",
+    "s3_scan_files", "j1_hash_all", "j1_hash_large_list", "j2_filename_regex", "j3_levenshtein", "j3_levenshtein_scaled",
     "j4_content_literal", "j4_content_regex", "j4_content_many", "a1_count", "a1_at_offset", "a2_match_offsets",
     "json_leaves", "j5_event_leaf_rules", "j6_registry_rules", "s4_expand_roundtrip", "o1_scan_all",
 )

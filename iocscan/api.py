@@ -15,13 +15,13 @@ from iocscan.functions.patterns import checked_name_patterns
 from iocscan.operators import content as rules_on
 from iocscan.operators import digests, names, units as scan_units
 from iocscan.operators.detectors import Detector
-from iocscan.operators.expand import MAX_UNIT_BYTES, expand
+from iocscan.operators.expand import expand, whole_units
 from iocscan.operators.findings import COLUMNS, exploded, finding, positions_where
 from iocscan.operators.leaves import DEPTH
 from iocscan.operators.rules import RuleSet
 from iocscan.schemas import FINDING, HASH, SCAN_ERROR, YARA
 from iocscan.session import prepare
-from iocscan.sources.files import CHUNK_BYTES, digest_files, list_files, read_files, with_file_types
+from iocscan.sources.files import CHUNK_BYTES, OVERLAP_BYTES, digest_files, list_files, read_files, with_file_types
 from iocscan.sources.iocs import filename_patterns as pattern_list, hash_iocs, hash_list, known_names as name_table
 from iocscan.sources.rulefiles import load_rules
 
@@ -131,12 +131,12 @@ def scan(
     hashes: Iterable[str] | DataFrame = (),
     exclude: str | None = None,
     expand_archives: bool = False,
-    max_unit_bytes: int = MAX_UNIT_BYTES,
+    max_unit_bytes: int | None = None,
     records: DataFrame | None = None,
     registry_values: DataFrame | None = None,
     json_depth: int = DEPTH,
     details: bool = False,
-    rule_timeout_s: int = 240,
+    rule_timeout_s: float | None = None,
     chunk_bytes: int = CHUNK_BYTES,
     detectors: Sequence[Detector] = (),
 ) -> ScanResult:
@@ -148,6 +148,9 @@ def scan(
     rules; event logs and hives among the artifacts are then not scanned as raw
     bytes if their rows are there. With ``details`` every finding of a rule lists
     the matches of its strings.
+
+    Nothing is left out unless a limit is given: ``max_unit_bytes`` ends decoded content there, and
+    ``rule_timeout_s`` gives up the search of a unit, which is then reported and has no findings of rules.
     """
     spark = artifacts.sparkSession if isinstance(artifacts, DataFrame) else SparkSession.active()
     prepare(spark)
@@ -189,10 +192,14 @@ def scan(
         # walked once; a lost block is walked again
         kept = listing = listing.persist(StorageLevel.MEMORY_AND_DISK)
         errors.append(_errors(listing, "path", "", "walk", "error"))
-        listing = listing.where(F.col("error").isNull())
+        # a name is tested whether or not its file can be read
+        name_rows = listing = listing.where(F.col("error").isNull())
+        if rules is not None:
+            errors.append(_errors(listing, "path", "", "read", "head_error"))
+            listing = listing.where(F.col("head_error").isNull()).drop("head_error")
         large = listing.where(F.col("length") > chunk_bytes)
         errors.append(_errors(read_files(listing, chunk_bytes), "path", "", "read", "error"))
-        table, name_rows = read_ok(listing), listing
+        table = read_ok(listing)
     else:
         table = artifacts if "basename" in artifacts.columns else artifacts.select(
             "*", basename(F.col("path")).alias("basename")
@@ -210,23 +217,24 @@ def scan(
         is_rest = (F.col("filetype") == "reg") & F.col("_covered").isNull()
         if listing is not None:
             listing = listing.join(F.broadcast(hives) if few else hives, "path", "left")
-            large, table, name_rows = listing.where(F.col("length") > chunk_bytes), read_ok(listing), listing
+            large, table = listing.where(F.col("length") > chunk_bytes), read_ok(listing)
             plain = plain | is_rest
         elif few:
             table = table.join(F.broadcast(hives), "path", "left")
             plain = plain | is_rest
         else:
-            uncovered = table.where(F.col("filetype") == "reg").join(hives, "path", "left_anti")
-    native = rules is not None and not rules_on.uses_arrow(rules) and not details
+            # all hives are scanned, and the findings of the covered ones dropped: content never moves
+            uncovered = hives
+    native = rules is not None and not rules_on.uses_arrow(rules) and not details and rule_timeout_s is None
     by_content = native or small_iocs is not None
-    if patterns or watched or by_content:
+    if listing is not None:
+        if by_content:
+            found.append(one_pass(table, rules if native else None, (), (), small_iocs, plain if native else None))
+        if patterns or watched:
+            found.append(one_pass(name_rows, None, patterns, watched))
+    elif patterns or watched or by_content:
         found.append(one_pass(
-            table if by_content else name_rows, rules if native else None, patterns, watched, small_iocs,
-            plain if native else None,
-        ))
-    if listing is not None and by_content and (patterns or watched):
-        # files too large to be read as one row still have a name
-        found.append(one_pass(large, None, patterns, watched))
+            table, rules if native else None, patterns, watched, small_iocs, plain if native else None))
     if watch_table is not None:
         found.append(names.near_misses(name_rows, watch_table))
     if listed is not None and not listed.small:
@@ -239,34 +247,44 @@ def scan(
     if rules is not None:
         sources = [] if native else [table.where(plain)]
         pieces_of = None if listing is None else large.where(plain)
-        if uncovered is not None:
-            sources.append(uncovered)
-        sources = [scan_units.raw_units(scan_units.with_externals(s)) for s in sources]
+        sources = [scan_units.raw_units(scan_units.with_externals(t)) for t in sources]
+        pieces = []
+        # matches without a bound may be as long as a piece
+        overlap = rules.overlap(OVERLAP_BYTES, chunk_bytes)
         if expand_archives:
             packed = (table if listing is None else listing).where(F.col("filetype").isin(*scan_units.PACKED))
-            expanded = expand(scan_units.with_externals(packed), max_unit_bytes)
-            cut = F.when(F.col("truncated"), "not decoded completely")
-            flawed = expanded.select("found_in_file", F.coalesce("error", cut).alias("error"))
+            expanded = expand(scan_units.with_externals(packed), max_unit_bytes, chunk_bytes, overlap)
+            cut = F.when(F.col("truncated"), "not decoded beyond the limit that was given")
+            flawed = expanded.select("found_in_file", F.coalesce("error", cut).alias("error")).distinct()
             errors.append(_errors(flawed, "found_in_file", YARA, "expand", "error"))
-            sources.append(expanded.where(F.col("error").isNull()).drop("error"))
+            expanded = expanded.where(F.col("error").isNull()).drop("error")
+            sources.append(whole_units(expanded))
+            pieces.append(expanded.where(F.col("chunk_start").isNotNull()))
         if records is not None:
             leaf_units, unread = scan_units.record_units(records, json_depth, rules)
             errors.append(_errors(unread, "file", YARA, "records", "message"))
             sources.append(leaf_units)
         if registry_values is not None:
             sources.append(scan_units.registry_units(registry_values))
+        if pieces_of is not None:
+            read = read_files(pieces_of, chunk_bytes, overlap, chunked=True)
+            errors.append(_errors(read, "path", YARA, "read", "error"))
+            pieces.append(scan_units.chunk_units(read.where(F.col("error").isNull())))
         search = rules_on.rule_findings_with_matches if details else rules_on.rule_findings
         for source in sources:
             found.append(search(source, rules, rule_timeout_s))
-            if rules_on.uses_arrow(rules):
+        if uncovered is not None:
+            rest = scan_units.raw_units(scan_units.with_externals(table.where(F.col("filetype") == "reg")))
+            found.append(search(rest, rules, rule_timeout_s).join(
+                uncovered.select(F.col("path").alias("artifact_path")), "artifact_path", "left_anti").select(*COLUMNS))
+            sources.append(rest)
+        search = rules_on.chunked_findings_with_matches if details else rules_on.rule_findings
+        for piece in pieces:
+            found.append(search(piece, rules, rule_timeout_s))
+        if rule_timeout_s is not None:
+            for source in [*sources, *pieces]:
                 late = rules_on.unit_hits(source, rules, keep=["found_in_file"], deadline_s=rule_timeout_s)
                 errors.append(_errors(late, "found_in_file", YARA, "match", "error"))
-        if pieces_of is not None:
-            pieces = read_files(pieces_of, chunk_bytes, chunked=True)
-            errors.append(_errors(pieces, "path", YARA, "read", "error"))
-            chunked = scan_units.chunk_units(pieces.where(F.col("error").isNull()))
-            search = rules_on.chunked_findings_with_matches if details else rules_on.rule_findings
-            found.append(search(chunked, rules, rule_timeout_s))
     for detector in detectors:
         found.append(detector.detect(table).select(*COLUMNS))
     return ScanResult(_union(found, spark, FINDING), _union(errors, spark, SCAN_ERROR), kept)

@@ -199,10 +199,8 @@ class ByteSearch:
         self.automaton, self.anchored = None, frozenset()
         if len(self.literals) + len(anchors) < AUTOMATON_STRINGS:
             return
-        try:
-            import ahocorasick
-        except ImportError:
-            return
+        import ahocorasick
+
         words: dict[str, tuple[int, list[int], list[int]]] = {}
         for data, index in self.literals:
             words.setdefault(data.decode("latin-1"), (len(data), [], []))[1].append(index)
@@ -214,8 +212,12 @@ class ByteSearch:
             self.automaton.add_word(text, found)
         self.automaton.make_automaton()
 
-    def find(self, data: bytes, deadline: float = math.inf) -> Iterator[tuple[int, int, int]]:
-        """(string, start, length) of every match; overlapping ones included."""
+    def find(self, data: bytes, deadline: float = math.inf, ends: bool = True) -> Iterator[tuple[int, int, int]]:
+        """(string, start, length) of every match; overlapping ones included.
+
+        ``ends``: whether the data ends here. The end of a piece in the middle of a file is no place for an expression
+        to end at the data's end: a byte is put after it, and a match that needs that byte has to hold without it as well.
+        """
         fixed: set[int] = set()
         if self.automaton is not None:
             for end, (length, indexes, anchors) in self.automaton.iter(data.decode("latin-1")):
@@ -237,7 +239,11 @@ class ByteSearch:
             elif s.anchor is not None and s.anchor not in data:
                 continue
             self._check(deadline)
-            for m in self.compiled[s.index].finditer(data):
+            for m in self.compiled[s.index].finditer(data if ends else data + b"\0"):
+                if m.end(1) > len(data):
+                    m = self.compiled[s.index].match(data, m.start(1))
+                    if m is None:
+                        continue
                 yield s.index, m.start(1), m.end(1) - m.start(1)
 
     @staticmethod
@@ -247,7 +253,7 @@ class ByteSearch:
 
 
 def _tally(search: ByteSearch, atoms: dict[int, list[Atom]], data: bytes, deadline: float, seen: set[int],
-           base: int = 0, lead: int = 0, own: int | None = None) -> dict[str, list[int]]:
+           base: int = 0, lead: int = 0, own: int | None = None, ends: bool = True) -> dict[str, list[int]]:
     """Values of the atoms that are not at rest: counts, positions, flags.
 
     The strings that occur are added to ``seen``.
@@ -258,7 +264,7 @@ def _tally(search: ByteSearch, atoms: dict[int, list[Atom]], data: bytes, deadli
     out: dict[str, list[int]] = {}
     places: dict[str, list[int]] = {}
     end = len(data) if own is None else lead + own
-    for index, start, _ in search.find(data, deadline):
+    for index, start, _ in search.find(data, deadline, ends):
         if not lead <= start < end:
             continue
         seen.add(index)
@@ -298,7 +304,7 @@ def _decided_by_search(rules: RuleSet) -> dict[int, list[int]]:
 _ATOMS = T.MapType(T.StringType(), T.ArrayType(T.LongType()))
 
 
-def _arrow_atoms(units: DataFrame, rules: RuleSet, keep: list[str], deadline_s: float, chunked: bool) -> DataFrame:
+def _arrow_atoms(units: DataFrame, rules: RuleSet, keep: list[str], deadline_s: float | None, chunked: bool) -> DataFrame:
     """``keep`` columns, ``_atoms`` (name to values), ``_decided`` and ``error``.
 
     ``_decided`` has the rules for which one occurrence is enough, so that their
@@ -337,10 +343,12 @@ def _arrow_atoms(units: DataFrame, rules: RuleSet, keep: list[str], deadline_s:
                 place = {}
                 if chunked:
                     start, lead = batch.column("chunk_start")[i].as_py(), batch.column("chunk_lead")[i].as_py()
-                    place = {"base": start - lead, "lead": lead, "own": batch.column("chunk_length")[i].as_py()}
+                    place = {
+                        "base": start - lead, "lead": lead, "own": batch.column("chunk_length")[i].as_py(),
+                        "ends": start - lead + len(data) >= batch.column("filesize")[i].as_py()}
                 seen: set[int] = set()
                 try:
-                    found = _tally(finder, by_string, data, time.monotonic() + deadline_s, seen=seen, **place)
+                    found = _tally(finder, by_string, data, math.inf if deadline_s is None else time.monotonic() + deadline_s, seen=seen, **place)
                     error = None
                 except TimeoutError as late:
                     found, error = {}, str(late)
@@ -406,28 +414,36 @@ def unit_hits(
     units: DataFrame,
     rules: RuleSet,
     keep: list[str] | None = None,
-    deadline_s: float = 240,
+    deadline_s: float | None = None,
     arrow: bool | None = None,
 ) -> DataFrame:
-    """``keep`` columns of each unit, ``rules`` (positions of the rules that hold) and ``error``."""
+    """``keep`` columns of each unit, ``rules`` (positions of the rules that hold) and ``error``.
+
+    A unit in error has no rules. With a deadline, which built-in expressions cannot keep, the Arrow strategy is taken.
+    """
     keep = [c for c in CARRIED if c in units.columns] if keep is None else keep
     chunked = "chunk_start" in units.columns
-    if not (uses_arrow(rules) or chunked if arrow is None else arrow):
+    if not (uses_arrow(rules) or chunked or deadline_s is not None if arrow is None else arrow):
         return _native_hits(units, rules, keep).withColumn("error", F.lit(None).cast("string"))
     rows = _arrow_atoms(units, rules, keep, deadline_s, chunked)
     if chunked:
         rows = _merged_chunks(rows, rules, keep)
-        return rows.select(*keep, _hit_rules(rules, _atom_from_map).alias("rules"), "error")
+        return rows.select(*keep, _unless_error(_hit_rules(rules, _atom_from_map)).alias("rules"), "error")
     decided = {i for i, r in rules.reported if r.any_of is not None}
     hits = F.concat("_decided", _hit_rules(rules, _atom_from_map, decided))
-    return rows.select(*keep, F.array_sort(hits).alias("rules"), "error")
+    return rows.select(*keep, _unless_error(F.array_sort(hits)).alias("rules"), "error")
+
+
+def _unless_error(hits: Column) -> Column:
+    """No verdict on a unit that was not searched to its end."""
+    return F.when(F.col("error").isNull(), hits).otherwise(F.array().cast("array<int>"))
 
 
 def rule_name(rules: RuleSet, position: Column) -> Column:
     return F.lit([r.rule_id for r in rules.rules])[position]
 
 
-def rule_findings(units: DataFrame, rules: RuleSet, deadline_s: float = 240, arrow: bool | None = None) -> DataFrame:
+def rule_findings(units: DataFrame, rules: RuleSet, deadline_s: float | None = None, arrow: bool | None = None) -> DataFrame:
     """One finding per unit and rule, without the matches."""
     hits = unit_hits(units, rules, deadline_s=deadline_s, arrow=arrow)
     kept = ["artifact_path", "found_in_file", "value_data", "contained_file"]
@@ -440,7 +456,7 @@ def rule_findings(units: DataFrame, rules: RuleSet, deadline_s: float = 240, arr
 
 
 def rule_findings_with_matches(
-    units: DataFrame, rules: RuleSet, deadline_s: float = 240, arrow: bool | None = None
+    units: DataFrame, rules: RuleSet, deadline_s: float | None = None, arrow: bool | None = None
 ) -> DataFrame:
     """One finding per unit and rule with all strings of the rule and their matches.
 
@@ -456,11 +472,11 @@ def rule_findings_with_matches(
 
 
 def _match_lists(search: ByteSearch, rule: Rule, data: bytes, base: int = 0, lead: int = 0,
-                 own: int | None = None) -> list[dict]:
+                 own: int | None = None, ends: bool = True) -> list[dict]:
     """All strings of a rule with their matches in order; see ``_tally`` for chunks."""
     end = len(data) if own is None else lead + own
     found: dict[int, set] = {s.index: set() for s in rule.strings}
-    for index, start, length in search.find(data):
+    for index, start, length in search.find(data, ends=ends):
         if lead <= start < end:
             found[index].add((start, length))
     return [
@@ -510,7 +526,7 @@ def collect_matches(hits: DataFrame, rules: RuleSet) -> DataFrame:
 CHUNK_SALTS = 16
 
 
-def chunked_findings_with_matches(pieces: DataFrame, rules: RuleSet, deadline_s: float = 240) -> DataFrame:
+def chunked_findings_with_matches(pieces: DataFrame, rules: RuleSet, deadline_s: float | None = None) -> DataFrame:
     """Findings with matches for files that were read in pieces.
 
     The list of all matches in a huge file is never built: part 0 of a finding
@@ -523,7 +539,7 @@ def chunked_findings_with_matches(pieces: DataFrame, rules: RuleSet, deadline_s:
         seen.atoms[presence.name] = presence
     merged = _merged_chunks(_arrow_atoms(pieces, seen, keep, deadline_s, True), seen, keep)
     verdicts = (
-        merged.select(*keep, _hit_rules(seen, _atom_from_map).alias("rules"), "_atoms")
+        merged.select(*keep, _unless_error(_hit_rules(seen, _atom_from_map)).alias("rules"), "_atoms")
         .select("*", F.explode_outer("rules").alias("rule")).where(F.col("rule").isNotNull())
     )
     none = F.array().cast("array<struct<offset:bigint,data:binary>>")
@@ -557,6 +573,7 @@ def chunked_findings_with_matches(pieces: DataFrame, rules: RuleSet, deadline_s:
                 place = {
                     "base": row["chunk_start"] - row["chunk_lead"], "lead": row["chunk_lead"],
                     "own": row["chunk_length"],
+                    "ends": row["chunk_start"] - row["chunk_lead"] + len(row["content"]) >= row["filesize"],
                 }
                 for i, rule, search in searches:
                     lists = [x for x in _match_lists(search, rule, row["content"], **place) if x["matches"]]
@@ -569,7 +586,7 @@ def chunked_findings_with_matches(pieces: DataFrame, rules: RuleSet, deadline_s:
                     yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     matches = pieces.select(
-        "found_in_file", "chunk_start", "chunk_lead", "chunk_length", "content"
+        "found_in_file", "chunk_start", "chunk_lead", "chunk_length", "filesize", "content"
     ).mapInArrow(collect, schema).withColumn("salt", F.pmod(F.xxhash64("part"), F.lit(CHUNK_SALTS)).cast("int"))
     salted = verdicts.select(
         "artifact_path", "found_in_file", "value_data", "contained_file", "rule",

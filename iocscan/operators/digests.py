@@ -16,10 +16,6 @@ from iocscan.session import has_at_most
 LOCAL_HASHES = 20_000
 #: Lists up to this size are broadcast (about 100 bytes a row when hashed).
 BROADCAST_HASHES = 500_000
-#: Copies of the indicator list in a shuffled join, so that the digest of a very
-#: frequent file (empty files, common libraries) is spread over several tasks.
-SALTS = 16
-
 # Digest kinds in the order in which they are reported.
 ALGORITHMS = ("MD5", "SHA1", "SHA256")
 
@@ -88,14 +84,8 @@ def hash_matches(artifacts: DataFrame, hashes: HashList) -> DataFrame:
     rows = hash_rows(artifacts, hashes.algorithms)
     if hashes.small:
         return rows.join(F.broadcast(hashes.table), ["algo", "digest"], "left_semi")
-    salted = hashes.table.select(
-        "algo", "digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    )
-    return (
-        rows.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int"))
-        .join(salted, ["algo", "digest", "salt"], "left_semi")
-        .drop("salt")
-    )
+    # of a digest that very many files share, adaptive execution splits the rows; the list itself is never copied
+    return rows.join(hashes.table.select("algo", "digest"), ["algo", "digest"], "left_semi")
 
 
 def hash_finding() -> Column:

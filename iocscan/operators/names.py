@@ -16,8 +16,6 @@ INLINE_NAMES = 64
 #: Watch-lists up to this size are broadcast, larger ones are shuffled. With
 #: about thirty short keys per name this stays well under 100 MB.
 BROADCAST_NAMES = 20_000
-#: Copies of a near-miss pair in the join back to the files.
-SALTS = 16
 
 
 def exclude_names(artifacts: DataFrame, pattern: str | None) -> DataFrame:
@@ -74,11 +72,8 @@ def near_misses(artifacts: DataFrame, known: DataFrame) -> DataFrame:
     pairs = near_miss_pairs(
         files.select("basename").distinct().repartition(tasks), known if small else known.repartition(tasks), small
     )
-    # a name that very many files carry is spread over several tasks
-    salted = pairs.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    hits = files.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")).join(
-        salted, ["basename", "salt"]
-    )
+    # the rows of a name that very many files carry are split by adaptive execution
+    hits = files.join(pairs, "basename")
     return hits.select(
         finding(LEVENSHTEIN, F.col("known"), F.col("path"), F.col("path")).alias("f")
     ).select("f.*")

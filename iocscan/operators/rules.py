@@ -9,12 +9,19 @@ occurs" or "number of occurrences of string 3".
 
 from __future__ import annotations
 
+import ast
 import itertools
+import operator
 import re
 from dataclasses import dataclass, field
 
+from re import _parser
+
 from pyspark.sql import DataFrame, Row, SparkSession, types as T
 
+#: From here on the width of an expression means that it has no bound.
+_UNBOUNDED = 1 << 30
+
 RULES = T.StructType([
     T.StructField("rule_id", T.StringType()),
     T.StructField("rule_file", T.StringType()),
@@ -76,6 +83,14 @@ class ByteString:
         off = "".join(f for f in "is" if f not in self.flags)
         return f"(?{self.flags}{'-' + off if off else ''}:{self.regex})"
 
+    @property
+    def longest(self) -> int | None:
+        """Bytes of the longest possible match; None if there is no bound."""
+        if self.literals:
+            return max(map(len, self.literals))
+        widest = _parser.parse(self.python.encode("latin-1")).getwidth()[1]
+        return None if widest >= _UNBOUNDED else int(widest)
+
     @property
     def recursive(self) -> bool:
         """Java matches a repeated group recursively and can exhaust its stack."""
@@ -337,21 +352,21 @@ def _sql_text(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _external(name: str, operator: str, value: str) -> str:
+def _external(name: str, relation: str, value: str) -> str:
     column = f"ext_{name}"
-    if operator == "matches":
+    if relation == "matches":
         if not value.startswith("/"):
             raise RuleError("'matches' needs a regular expression")
         body, _, flags = value[1:].rpartition("/")
         return f"rlike({column}, {_sql_text('(?d' + flags + ')' + body)})"
     if not value.startswith('"'):
-        raise RuleError(f"{operator!r} needs a quoted text")
+        raise RuleError(f"{relation!r} needs a quoted text")
     text = text_bytes(value[1:-1]).decode("utf-8", "replace")
-    if operator in ("==", "!="):
-        return f"({column} {operator} {_sql_text(text)})"
-    if operator.startswith("i"):
-        column, text, operator = f"lower({column})", text.lower(), operator[1:]
-    return f"({column} == {_sql_text(text)})" if operator == "equals" else f"{operator}({column}, {_sql_text(text)})"
+    if relation in ("==", "!="):
+        return f"({column} {relation} {_sql_text(text)})"
+    if relation.startswith("i"):
+        column, text, relation = f"lower({column})", text.lower(), relation[1:]
+    return f"({column} == {_sql_text(text)})" if relation == "equals" else f"{relation}({column}, {_sql_text(text)})"
 
 
 def condition_sql(condition: str, strings: list[ByteString], earlier: dict[str, Rule]) -> Rule:
@@ -457,11 +472,12 @@ def _needs_match(text: str, atoms: dict[str, Atom], externals: list[str]) -> boo
     The condition is tried with all atoms at "no match" and with the other facts
     at every combination of values that could matter. False when unsure.
     """
-    plain = text.replace("true", "True").replace("false", "False")
+    plain = re.sub(r"\btrue\b", "True", re.sub(r"\bfalse\b", "False", text))
     try:
-        code = compile(plain, "<condition>", "eval")
-    except SyntaxError as error:
-        raise RuleError(f"cannot read condition: {error.msg}") from error
+        tree = ast.parse(plain, mode="eval").body
+    except (SyntaxError, RecursionError, MemoryError) as error:
+        raise RuleError(f"cannot read condition: {getattr(error, 'msg', error)}") from error
+    _checked(tree)
     sizes = [0]
     if "filesize" in text:
         simple = re.findall(r"filesize\s*(?:<=|>=|==|!=|<|>)\s*(\d+)(?!\s*[+*-])", text)
@@ -474,12 +490,45 @@ def _needs_match(text: str, atoms: dict[str, Atom], externals: list[str]) -> boo
     facts = {name: nothing[a.kind] for name, a in atoms.items()}
     for size in sizes:
         for values in itertools.product((False, True), repeat=len(externals)):
-            scope = {**facts, **dict(zip(externals, values)), "filesize": size, "int": int}
-            if eval(code, {"__builtins__": {}}, scope):
+            if _value(tree, {**facts, **dict(zip(externals, values)), "filesize": size}):
                 return False
     return True
 
 
+_ARITHMETIC = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.USub: operator.neg, ast.UAdd: operator.pos, ast.Not: operator.not_}
+_COMPARISONS = {
+    ast.Lt: operator.lt, ast.LtE: operator.le, ast.Gt: operator.gt, ast.GtE: operator.ge, ast.Eq: operator.eq, ast.NotEq: operator.ne}
+_ALLOWED = (ast.BoolOp, ast.And, ast.Or, ast.UnaryOp, ast.BinOp, ast.Compare, ast.Name, ast.Load, ast.Constant, *_ARITHMETIC, *_COMPARISONS)
+
+
+def _checked(tree: ast.AST) -> None:
+    """Refuse whatever is no and, or, not, comparison, sum, difference or product of facts and numbers."""
+    for node in ast.walk(tree):
+        if isinstance(node, ast.Call):
+            if not (isinstance(node.func, ast.Name) and node.func.id == "int" and len(node.args) == 1 and not node.keywords):
+                raise RuleError("unsupported call in condition")
+        elif not isinstance(node, _ALLOWED) or (isinstance(node, ast.Compare) and len(node.ops) > 1):
+            raise RuleError(f"unsupported {type(node).__name__} in condition")
+
+
+def _value(node: ast.AST, facts: dict):
+    """Value of a checked condition."""
+    if isinstance(node, ast.Constant):
+        return node.value
+    if isinstance(node, ast.Name):
+        return facts[node.id]
+    if isinstance(node, ast.BoolOp):
+        parts = (_value(v, facts) for v in node.values)
+        return all(parts) if isinstance(node.op, ast.And) else any(parts)
+    if isinstance(node, ast.UnaryOp):
+        return _ARITHMETIC[type(node.op)](_value(node.operand, facts))
+    if isinstance(node, ast.BinOp):
+        return _ARITHMETIC[type(node.op)](_value(node.left, facts), _value(node.right, facts))
+    if isinstance(node, ast.Call):
+        return int(_value(node.args[0], facts))
+    return _COMPARISONS[type(node.ops[0])](_value(node.left, facts), _value(node.comparators[0], facts))
+
+
 # --- rule sets ---------------------------------------------------------------
 
 
@@ -499,6 +548,11 @@ class RuleSet:
     def needs_match(self) -> bool:
         return all(r.needs_match for r in self.rules)
 
+    def overlap(self, least: int, unbounded: int) -> int:
+        """How far pieces of content must overlap for every match to lie in one: ``unbounded`` where matches have no bound."""
+        widths = [s.longest for s in self.strings]
+        return unbounded if None in widths else max([least, *widths])
+
     @property
     def reported(self) -> list[tuple[int, Rule]]:
         return [(i, r) for i, r in enumerate(self.rules) if not r.private]

@@ -11,7 +11,7 @@ from iocscan.functions.content import escape_bytes, file_type, registry_display
 from iocscan.functions.names import WELL_KNOWN_NAMES, basename
 from iocscan.operators import content as rules_on, digests, names, units as scan_units
 from iocscan.operators.detectors import BytesDetector, ExpressionDetector
-from iocscan.operators.expand import expand
+from iocscan.operators.expand import expand, whole_units
 from iocscan.operators.leaves import string_leaves
 from iocscan.operators.rules import RuleSet
 from iocscan.plans import inputs
@@ -54,22 +54,34 @@ def _document_rules(rules: RuleSet) -> Query:
 
 # --- sources -----------------------------------------------------------------
 
+_TEXT_RULES = (("article", {"$a": "the "}, "$a"), ("no_article", {"$a": "the "}, "not $a"), ("end", {"$a": "/[.]$/"}, "$a"))
+_TEXT_RULES_SQL = """
+SELECT rule_name, {path} AS found_in_file FROM documents, (VALUES ('article'), ('no_article'), ('end')) r(rule_name)
+WHERE CASE rule_name WHEN 'article' THEN contains(text, 'the ') WHEN 'no_article' THEN NOT contains(text, 'the ') ELSE ends_with(text, '.') END
+"""
+
 
-@query("s1_evidence_scan")
+@query("s1_evidence_scan", """
+SELECT path, basename, octet_length(encode(text)) AS length, sha256(text) AS digest FROM artifacts
+""", ctes=(ARTIFACTS,))
 def s1_evidence_scan(spark, folder):
-    """The table files themselves as evidence: listed, then read as streams for a digest."""
-    files = digest_files(list_files(spark, folder), ["SHA256"])
-    return files.select("basename", "length", "digest_sha256", "error")
+    """The documents as a tree of files: listed, then read as streams for a digest."""
+    root = inputs.file_tree(spark, folder)
+    files = digest_files(list_files(spark, root), ["SHA256"])
+    return files.where(F.col("error").isNull()).select(
+        F.substr("path", F.lit(len(root) + 1)).alias("path"), "basename", "length", F.col("digest_sha256").alias("digest"))
 
 
-@query("s3_scan_files")
+@query("s3_scan_files", _TEXT_RULES_SQL.format(path="path").replace("SELECT rule_name", "SELECT 'Yara' AS scanner, rule_name").replace(
+    "FROM documents", "FROM artifacts") + """
+UNION ALL SELECT 'Filename', pattern, path FROM artifacts JOIN patterns ON regexp_matches(basename, pattern)
+UNION ALL SELECT 'Levenshtein', known, path FROM artifacts JOIN known8 ON levenshtein(basename, known) = 1
+""", ctes=(ARTIFACTS, PATTERN_ROWS, KNOWN_ROWS))
 def s3_scan_files(spark, folder):
-    """The table files as evidence for all detectors; columnar files begin and end with a mark."""
-    rules = RuleSet.define(
-        ("columnar", {"$mark": "PAR1"}, "$mark at 0 and #mark > 1"), ("text_file", {"$mark": "PAR1"}, "not $mark"),
-    )
-    found = scan(folder, rules=rules, filename_patterns=["^p", "[.]parquet$"], known_names=["pages.parque", "part.csv"])
-    return found.findings.select("scanner", "rule_name", basename(F.col("found_in_file")).alias("file"))
+    """All row-local detectors over the documents as a tree of files."""
+    root = inputs.file_tree(spark, folder)
+    found = scan(root, rules=RuleSet.define(*_TEXT_RULES), filename_patterns=PATTERNS, known_names=True)
+    return found.findings.select("scanner", "rule_name", F.substr("found_in_file", F.lit(len(root) + 1)).alias("found_in_file"))
 
 
 @query("s2_table_artifacts", """
@@ -106,6 +118,22 @@ def s5_zip_members(spark, folder):
     )
 
 
+@query("s4_multi_stream", _TEXT_RULES_SQL.format(
+    path=f"concat('/packed/', CAST(doc_id AS VARCHAR), '.', {inputs.kind_sql(('gz', 'bz2', 'xz'))})"))
+def s4_multi_stream(spark, folder):
+    """Documents in three streams one after another: the rules see the whole text."""
+    packed = inputs.packed(spark, folder, ("gz", "bz2", "xz"), streams=3).drop("doc_id", "n_chars")
+    return scan(packed, rules=RuleSet.define(*_TEXT_RULES), expand_archives=True).findings.select("rule_name", "found_in_file")
+
+
+@query("s5_member_rules", _TEXT_RULES_SQL.format(path="concat('/packed/', CAST(doc_id AS VARCHAR), '.zip:folder/text.txt')") + """
+UNION ALL SELECT 'no_article', concat('/packed/', CAST(doc_id AS VARCHAR), '.zip:source.txt') FROM documents
+""")
+def s5_member_rules(spark, folder):
+    packed = inputs.packed(spark, folder, ("zip",)).drop("doc_id", "n_chars")
+    return scan(packed, rules=RuleSet.define(*_TEXT_RULES), expand_archives=True).findings.select("rule_name", "found_in_file")
+
+
 @query("s6_event_records", """
 SELECT file, record_id, json_extract_string(data, '$.EventID') AS event_id,
        json_extract_string(data, '$.Data.User') AS user_name,
@@ -211,7 +239,7 @@ def p6_routing(spark, folder):
     files = scan_units.with_externals(inputs.packed(spark, folder, _KINDS))
     plain = scan_units.is_plain(expand_archives=True)
     raw = scan_units.raw_units(files.where(plain))
-    opened = expand(files.where(~plain)).drop("error")
+    opened = whole_units(expand(files.where(~plain))).drop("error")
     return raw.unionByName(opened).select("unit_kind", "contained_file", F.md5("content").alias("digest"))
 
 
@@ -231,6 +259,18 @@ def p8_errors(spark, folder):
     return scan(files, rules=rules, expand_archives=True).errors.select("path", "scanner", "stage")
 
 
+@query("p8_names_without_content", """
+SELECT 'Filename' AS scanner, pattern AS rule_name, path AS found_in_file FROM artifacts JOIN patterns ON regexp_matches(basename, pattern)
+UNION ALL SELECT 'Levenshtein', known, path FROM artifacts JOIN known8 ON levenshtein(basename, known) = 1
+""", ctes=(ARTIFACTS, PATTERN_ROWS, KNOWN_ROWS))
+def p8_names_without_content(spark, folder):
+    """Names are tested whether or not there is any content."""
+    files = inputs.artifacts(spark, folder).withColumn("content", F.lit(None).cast("binary"))
+    rules = RuleSet.define(("any_the", {"$a": "the "}, "$a"))
+    found = scan(files, rules=rules, filename_patterns=PATTERNS, known_names=True, hashes=["0" * 32], expand_archives=True)
+    return found.findings.select("scanner", "rule_name", "found_in_file")
+
+
 # --- digests -----------------------------------------------------------------
 
 
@@ -338,6 +378,25 @@ def j4_content_many(spark, folder):
     return _document_rules(pair_rules())(spark, folder)
 
 
+@query("j4_chunked_equals_whole", _TEXT_RULES_SQL.format(path="path").replace("FROM documents", "FROM artifacts") + """
+UNION ALL SELECT 'long', path FROM artifacts WHERE octet_length(encode(text)) >= 900
+UNION ALL SELECT 'twice', path FROM artifacts WHERE len(string_split(text, 'the ')) > 2
+""", ctes=(ARTIFACTS,))
+def j4_chunked_equals_whole(spark, folder):
+    """Documents in pieces of a few hundred bytes: matches longer than a piece, the end of the data, counts and negations are as in whole ones."""
+    rules = RuleSet.define(*_TEXT_RULES, ("long", {"$a": "/^.{900}/s"}, "$a"), ("twice", {"$a": "the "}, "#a > 1"))
+    size, overlap = 300, rules.overlap(64, 1200)
+    whole = inputs.artifacts(spark, folder)
+    length = F.length("content").cast("long")
+    starts = F.sequence(F.lit(0).cast("long"), F.greatest(length - 1, F.lit(0).cast("long")), F.lit(size).cast("long"))
+    pieces = whole.withColumn("filesize", length).select("*", F.explode(starts).alias("chunk_start"))
+    lead = F.least("chunk_start", F.lit(overlap).cast("long"))
+    pieces = pieces.withColumns({
+        "chunk_lead": lead, "chunk_length": F.least(F.lit(size).cast("long"), F.col("filesize") - F.col("chunk_start")),
+        "content": F.substring(F.col("content"), (F.col("chunk_start") - lead + 1).cast("int"), (lead + size + overlap).cast("int"))})
+    return rules_on.rule_findings(scan_units.chunk_units(pieces), rules).select("rule_name", "found_in_file")
+
+
 _EVENT_RULES = (
     ("failure", {"$a": "error"}, "any of them"),
     ("some_user", {"$a": "/^u1[0-9]*$/"}, "any of them"),
@@ -515,6 +574,15 @@ def json_leaves(spark, folder):
     return leaves.select("file", "record_id", "leaf")
 
 
+@query("json_leaves_deep", "SELECT file, record_id, leaf FROM leaves", ctes=(RECORDS,))
+def json_leaves_deep(spark, folder):
+    """The same records inside twenty more levels."""
+    records = inputs.records(spark, folder).withColumn(
+        "data", F.concat(F.lit('[{"in":' * 10), "data", F.lit("}]" * 10)))
+    leaves, _ = string_leaves(records)
+    return leaves.select("file", "record_id", "leaf")
+
+
 # --- whole scans -------------------------------------------------------------
 
 _SCAN_RULES = (
@@ -630,7 +698,7 @@ def k3_text_details(spark, folder):
 
 @query("o3_truncated_scan", f"""
 SELECT concat('/packed/', CAST(doc_id AS VARCHAR), '.', {inputs.kind_sql(("gz", "bz2", "xz"))}) AS found_in_file,
-       least(octet_length(encode(text)), 1000) AS length, octet_length(encode(text)) >= 1000 AS truncated,
+       least(octet_length(encode(text)), 1000) AS length, octet_length(encode(text)) > 1000 AS truncated,
        contains(text, 'the ') AND octet_length(encode(split_part(text, 'the ', 1))) + 4 <= 1000 AS hit
 FROM documents
 """)
@@ -639,7 +707,7 @@ def o3_truncated_scan(spark, folder):
     packed = inputs.packed(spark, folder, ("gz", "bz2", "xz"))
     opened = expand(scan_units.with_externals(packed), max_unit_bytes=1000)
     rules = RuleSet.define(("r", {"$a": "the "}, "$a"))
-    sized = opened.withColumn("length", F.length("content").cast("long"))
+    sized = whole_units(opened).withColumn("length", F.length("content").cast("long"))
     return rules_on.unit_hits(sized, rules, keep=["found_in_file", "length", "truncated"]).select(
         "found_in_file", "length", "truncated", (F.size("rules") > 0).alias("hit")
     )

@@ -10,12 +10,14 @@ import bz2
 import gzip
 import io
 import lzma
+import os
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from iocscan.functions.names import WELL_KNOWN_NAMES
 from iocscan.operators.units import artifacts_from
+from iocscan.session import work_folder
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -41,6 +43,22 @@ def artifacts(spark: SparkSession, folder: str) -> DataFrame:
     return artifacts_from(table(spark, folder, "documents"), evidence_path(), F.col("text"))
 
 
+def file_tree(spark: SparkSession, folder: str) -> str:
+    """The documents written as files below a fresh shared folder, which is returned."""
+    root = work_folder(spark, "tree").removeprefix("file://")
+
+    def write(frames):
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"]):
+                place = root + path
+                os.makedirs(os.path.dirname(place), exist_ok=True)
+                with open(place, "wb") as file:
+                    file.write(content)
+            yield frame[["path"]]
+    artifacts(spark, folder).select("path", "content").mapInPandas(write, "path string").write.format("noop").mode("overwrite").save()
+    return root
+
+
 ARTIFACTS = """
 based AS (
   SELECT *, CASE doc_id % 8 WHEN 0 THEN 'svchost.exe' WHEN 1 THEN 'explorer.exe' WHEN 2 THEN 'iexplore.exe'
@@ -179,15 +197,21 @@ def _packed(kind: str, data: bytes, source: str) -> bytes:
     return _zip([("folder/text.txt", data), ("source.txt", source.encode())]) if kind == "zip" else data
 
 
-def packed(spark: SparkSession, folder: str, kinds: tuple[str, ...]) -> DataFrame:
-    """Each document packed in one of the kinds, in turn; ``raw`` stays as it is."""
+def _parts(data: bytes, n: int) -> list[bytes]:
+    each = -(-len(data) // n)
+    return [data[i * each:(i + 1) * each] for i in range(n)]
+
+
+def packed(spark: SparkSession, folder: str, kinds: tuple[str, ...], streams: int = 1) -> DataFrame:
+    """Each document packed in one of the kinds, in turn; ``raw`` stays as it is. With ``streams``, in so many one after another."""
     kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col("doc_id") % len(kinds) + 1).cast("int"))
     chosen = table(spark, folder, "documents").select("doc_id", "text", "source", "n_chars", kind.alias("kind"))
 
     def pack(frames):
         for frame in frames:
             frame["content"] = [
-                _packed(k, t.encode("utf-8"), s) for k, t, s in zip(frame["kind"], frame["text"], frame["source"])
+                b"".join(_packed(k, part, s) for part in _parts(t.encode("utf-8"), streams))
+                for k, t, s in zip(frame["kind"], frame["text"], frame["source"])
             ]
             frame["path"] = "/packed/" + frame["doc_id"].astype(str) + "." + frame["kind"]
             frame["basename"] = frame["doc_id"].astype(str) + "." + frame["kind"]

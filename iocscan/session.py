@@ -42,10 +42,12 @@ def has_at_most(df, limit: int) -> bool:
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for data that Spark writes and reads again.
 
-    On a cluster this is below the shared folder in ``spark.checkpoint.dir``;
-    a temporary folder is used only where that is not set.
+    On a cluster this is below the shared folder in ``spark.checkpoint.dir``; without one only a session in
+    a single process gets a temporary folder, as executors would each write to their own disk.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/iocscan/{name}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return tempfile.mkdtemp(prefix=f"iocscan-{name}-")

@@ -233,8 +233,9 @@ def digest_files(listing: DataFrame, algos: list[str]) -> DataFrame:
 
 
 def with_file_types(listing: DataFrame) -> DataFrame:
-    """Add ``filetype`` from the first bytes of each file, without reading the rest."""
-    schema = T.StructType([*listing.schema.fields, T.StructField("filetype", T.StringType())])
+    """Add ``filetype`` from the first bytes of each file, without reading the rest, and ``head_error``."""
+    schema = T.StructType([
+        *listing.schema.fields, T.StructField("filetype", T.StringType()), T.StructField("head_error", T.StringType())])
     arrow = to_arrow_schema(schema)
     prefixes = {name: bytes.fromhex(code) for name, code in MAGIC.items()}
     longest = max(map(len, prefixes.values()))
@@ -243,14 +244,16 @@ def with_file_types(listing: DataFrame) -> DataFrame:
         for batch in batches:
             rows = batch.to_pylist()
             for row in rows:
-                row["filetype"] = "raw"
+                row["filetype"], row["head_error"] = "raw", None
                 if row["error"] is None:
                     try:
                         with open(row["path"], "rb") as stream:
                             head = stream.read(longest)
                         row["filetype"] = next((n for n, p in prefixes.items() if head.startswith(p)), "raw")
                     except OSError as error:
-                        row["error"] = str(error)
+                        row["head_error"] = str(error)
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return listing.mapInArrow(run, schema)
+    # paths only: a flat folder is listed by one task, but its files are opened by all
+    spread = listing.sparkSession.sparkContext.defaultParallelism * 4
+    return listing.repartition(spread).mapInArrow(run, schema)

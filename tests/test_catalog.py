@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from iocscan.plans.catalog import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = ("documents", "pages", "events", "part", "labels", "benchmark", "conversations", "orders", "lineitem")
@@ -19,7 +20,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
     frame = queries()[name](spark, FOLDER)
     columns = sorted(frame.columns)
