@@ -249,8 +249,8 @@ def scan(
         pieces_of = None if listing is None else large.where(plain)
         sources = [scan_units.raw_units(scan_units.with_externals(t)) for t in sources]
         pieces = []
-        # matches without a bound may be as long as a piece
-        overlap = rules.overlap(OVERLAP_BYTES, chunk_bytes)
+        # matches without a bound may be as long as a large piece
+        overlap = rules.overlap(OVERLAP_BYTES, max(chunk_bytes, CHUNK_BYTES))
         if expand_archives:
             packed = (table if listing is None else listing).where(F.col("filetype").isin(*scan_units.PACKED))
             expanded = expand(scan_units.with_externals(packed), max_unit_bytes, chunk_bytes, overlap)

@@ -171,6 +171,15 @@ def test_overrun_is_reported(spark):
     assert scan(table, rules=rules, rule_timeout_s=-1).errors.count() == 1
 
 
+def test_no_verdict_on_a_unit_that_was_not_searched(spark):
+    """Neither strategy may take a late search for one that found nothing."""
+    table = spark.createDataFrame([("/d/0", bytearray(b"evil"))], "path string, content binary")
+    for rules in (RuleSet.define(("clean", {"$a": "evil"}, "not $a")), RuleSet.define(("clean", {"$a": "/(e|v)+il/"}, "not $a"))):
+        found = scan(table, rules=rules, rule_timeout_s=-1)
+        assert found.findings.collect() == [] and found.errors.count() == 1
+        assert scan(table, rules=rules).errors.collect() == []
+
+
 def test_repeated_groups_on_long_texts(spark):
     """Java would run out of stack here; such rules are searched in Python."""
     rules = RuleSet.define(("r", {"$a": "/x(a|b)+c/"}, "any of them"))
