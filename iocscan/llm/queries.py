@@ -83,12 +83,10 @@ def op4(spark, folder):
         resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
 
 
-def _labelled(spark, folder, label):
+def _labelled(spark, folder, label, rows):
     """Documents with a label that may be learned from."""
-    from .toxicity import held_out
-    labels = _table(spark, folder, "labels").select("doc_id", F.col(label).alias("label"))
-    docs = _table(spark, folder, "documents").select("doc_id", "text")
-    return docs.where(~held_out(F.col("doc_id"))).join(labels, "doc_id").select("text", "label")
+    from .toxicity import labelled_sample
+    return labelled_sample(_table(spark, folder, "documents"), _table(spark, folder, "labels"), label, rows=rows)
 
 
 def _scored(docs, name, least):
@@ -100,15 +98,15 @@ def _scored(docs, name, least):
 
 @_query("op8_toxicity")
 def op8(spark, folder):
-    from .toxicity import learn_lexicon, score_toxicity
-    lexicon = learn_lexicon(_labelled(spark, folder, "toxic"))
+    from .toxicity import SAMPLE_ROWS, learn_lexicon, score_toxicity
+    lexicon = learn_lexicon(_labelled(spark, folder, "toxic", SAMPLE_ROWS))
     return _scored(score_toxicity(_table(spark, folder, "documents").select("doc_id", "text"), lexicon), "toxicity", 0.7)
 
 
 @_query("op9_quality_classifier")
 def op9(spark, folder):
-    from .quality import learn_quality, score_quality
-    model = learn_quality(_labelled(spark, folder, "quality"))
+    from .quality import SAMPLE_ROWS, learn_quality, score_quality
+    model = learn_quality(_labelled(spark, folder, "quality", SAMPLE_ROWS))
     return _scored(score_quality(_table(spark, folder, "documents").select("doc_id", "text"), model), "quality", 0.5)
 
 

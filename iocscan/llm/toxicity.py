@@ -300,6 +300,24 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, *, text_col: str = "text",
     return docs.withColumn(name, score(F.col(f"`{text_col}`").cast("string")))
 
 
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label_col: str, *, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS,
+) -> DataFrame:
+    """(text, label) of about ``rows`` labelled documents at most that may be learned from, chosen by the id's hash.
+
+    Labels are sampled before they meet the texts, so what is broadcast has a bound and texts don't move. An id with
+    several labels counts with the largest one; held-out ids and null labels are left out.
+    """
+    label = F.col(f"`{label_col}`").cast("int")
+    known = labels.select(F.col(f"`{id_col}`").alias("__id"), label.alias("label")).where(~held_out(F.col("__id")) & F.col("label").isin(0, 1))
+    known = known.groupBy("__id").agg(F.max("label").alias("label"))
+    total = known.count()
+    if total > rows:
+        known = known.where(F.pmod(F.xxhash64("__id"), F.lit(total)) < rows)
+    texts = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("text"))
+    return texts.join(F.broadcast(known), "__id").select("text", "label")
+
+
 def held_out(id_column: Column, folds: int = 3) -> Column:
     """Rows that nothing is learned from: CRC-32 of the id as text leaves 1 when divided by ``folds``."""
     return F.crc32(id_column.cast("string").cast("binary")) % folds == 1
