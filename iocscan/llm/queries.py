@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
+from . import oracles
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,14 +31,14 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-@_query("op1_ngram_jaccard_join")
+@_query("op1_ngram_jaccard_join", oracles.JACCARD)
 def op1(spark, folder):
     from .jaccard import similar_documents
     found = similar_documents(_table(spark, folder, "documents"), size=3, percent=90)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
-@_query("op2_benchmark_decontamination")
+@_query("op2_benchmark_decontamination", oracles.DECONTAMINATION)
 def op2(spark, folder):
     from .decontaminate import contaminated_spans
     found = contaminated_spans(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
@@ -110,7 +111,7 @@ def op9(spark, folder):
     return _scored(score_quality(_table(spark, folder, "documents").select("doc_id", "text"), model), "quality", 0.5)
 
 
-@_query("op10_suffix_array_dedup")
+@_query("op10_suffix_array_dedup", oracles.REPEATS)
 def op10(spark, folder):
     from .substrings import remove_repeats
     found = remove_repeats(_table(spark, folder, "documents"))
