@@ -736,21 +736,26 @@ def u1_custom_detector(spark, folder):
 
 
 @query("x1_stream_equals_batch", """
-SELECT 'Yara' AS scanner, 'mail' AS rule_name, path AS found_in_file FROM artifacts WHERE regexp_matches(text, '[A-Za-z0-9._]+@[a-z.]+')
-UNION ALL SELECT 'Yara', 'article', path FROM artifacts
+, seen AS (SELECT * FROM artifacts WHERE NOT regexp_matches(basename, 'xx$'))
+SELECT 'Yara' AS scanner, 'mail' AS rule_name, path AS found_in_file FROM seen WHERE regexp_matches(text, '[A-Za-z0-9._]+@[a-z.]+')
+UNION ALL SELECT 'Yara', 'article', path FROM seen
   WHERE contains(text, 'the ') AND contains(text, 'The ') AND octet_length(encode(text)) < 4096
-UNION ALL SELECT 'Yara', 'failure', path FROM artifacts WHERE contains(text, 'error')
-UNION ALL SELECT 'Yara', 'widget', path FROM artifacts WHERE contains(text, 'widget')
-UNION ALL SELECT 'Filename', pattern, path FROM artifacts JOIN patterns ON regexp_matches(basename, pattern)
-UNION ALL SELECT 'Levenshtein', known, path FROM artifacts JOIN known8 ON levenshtein(basename, known) = 1
-""", ctes=(ARTIFACTS, PATTERN_ROWS, KNOWN_ROWS))
+UNION ALL SELECT 'Yara', 'failure', path FROM seen WHERE contains(text, 'error')
+UNION ALL SELECT 'Yara', 'widget', path FROM seen WHERE contains(text, 'widget')
+UNION ALL SELECT 'Filename', pattern, path FROM seen JOIN patterns ON regexp_matches(basename, pattern)
+UNION ALL SELECT 'Levenshtein', known, path FROM seen JOIN known8 ON levenshtein(basename, known) = 1
+UNION ALL SELECT 'Hash', concat('MD5:', md5(text)), basename FROM seen WHERE md5(text) IN (SELECT digest FROM ioc_hashes WHERE algo = 'MD5')
+UNION ALL SELECT 'Hash', concat('SHA1:', sha1(text)), basename FROM seen WHERE sha1(text) IN (SELECT digest FROM ioc_hashes WHERE algo = 'SHA1')
+UNION ALL SELECT 'Hash', concat('SHA256:', sha256(text)), basename FROM seen WHERE sha256(text) IN (SELECT digest FROM ioc_hashes WHERE algo = 'SHA256')
+""", ctes=(ARTIFACTS, HASH_IOCS, PATTERN_ROWS, KNOWN_ROWS))
 def x1_stream_equals_batch(spark, folder):
     """The documents as a stream of files: the same findings as the batch scan."""
     schema = inputs.table(spark, folder, "documents").schema
     documents = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(folder)
     files = scan_units.artifacts_from(documents, inputs.evidence_path(), F.col("text"))
     found = scan_stream(
-        files, rules=RuleSet.define(*_SCAN_RULES), filename_patterns=PATTERNS, known_names=True
+        files, rules=RuleSet.define(*_SCAN_RULES), filename_patterns=PATTERNS, known_names=True, exclude="xx$",
+        hashes=inputs.hash_strings(spark, folder),
     )
     target = work_folder(spark, "stream")
     write_stream(found, f"{target}/findings", f"{target}/checkpoint").awaitTermination()
