@@ -55,8 +55,8 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_hashes(texts: list[bytes], fold: bytes = WHITE) -> list[np.ndarray]:
-    """64-bit hashes of the words of each text, which are runs of bytes that ``fold`` doesn't make a space.
+def word_hashes(texts: list[bytes], fold: bytes = WHITE, least: int = 1) -> list[np.ndarray]:
+    """64-bit hashes of the words of each text, which are runs of ``least`` bytes or more that ``fold`` doesn't make a space.
 
     A word's hash is a polynomial over its bytes, taken from running sums over many texts at once, and mixed.
     """
@@ -64,18 +64,21 @@ def word_hashes(texts: list[bytes], fold: bytes = WHITE) -> list[np.ndarray]:
     first = size = 0
     for i, text in enumerate(texts):
         if size and size + len(text) + 1 > _STRETCH:
-            out += _stretch_hashes(texts[first:i], fold)
+            out += _stretch_hashes(texts[first:i], fold, least)
             first, size = i, 0
         size += len(text) + 1
-    return out + (_stretch_hashes(texts[first:], fold) if first < len(texts) else [])
+    return out + (_stretch_hashes(texts[first:], fold, least) if first < len(texts) else [])
 
 
-def _stretch_hashes(texts: list[bytes], fold: bytes) -> list[np.ndarray]:
+def _stretch_hashes(texts: list[bytes], fold: bytes, least: int) -> list[np.ndarray]:
     data = np.frombuffer(b" ".join([*texts, b""]).translate(fold), np.uint8)
     inside = np.zeros(len(data) + 2, bool)
     np.not_equal(data, 0x20, out=inside[1:-1])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[0::2], edges[1::2]
+    if least > 1:
+        kept = ends - starts >= least
+        starts, ends = starts[kept], ends[kept]
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE_VALUES[data] * _powers(_ODD, len(data)), out=sums[1:])
     found = mix((sums[ends] - sums[starts]) * _powers(_INVERSE, len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
