@@ -3,9 +3,9 @@
 A document is the set of its word shingles. Every shingle flips one bit of a sketch, so two
 sketches differ in at most as many bits as the sets have elements that only one of them holds.
 Sets of a and b shingles with Jaccard similarity s or more differ in at most
-``(a + b) * (1 - s) / (1 + s)`` elements. Within a band of sizes a sketch has one 64-bit word
-more than that bound at the band's upper end, so linked sets agree in at least one whole word
-(pigeonhole). Equal words are found by an equi-join, and what meets there is verified on texts.
+``(a + b) * (1 - s) / (1 + s)`` elements. Within a band of sizes a sketch has more parts than that
+bound at the band's upper end, so linked sets agree in at least one whole part
+(pigeonhole). Equal parts are found by an equi-join, and what meets there is verified on texts.
 """
 
 from __future__ import annotations
@@ -56,16 +56,40 @@ def sketch(found: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.uint64)
 
 
-def _keys(found: np.ndarray, percent: int) -> np.ndarray:
-    """Join keys of a set: every sketch word, in its own size band and the next."""
+@lru_cache(maxsize=4096)
+def _parts(label: int, percent: int) -> tuple[int, int]:
+    """(parts, spare) of the sketch of a size band and the one below: ``spare`` parts more than linked sets need.
+
+    Linked sets agree in at least ``spare + 1`` parts. An empty part says nothing, so there are enough spare ones to
+    have an agreeing part that is not empty, unless both sets leave more than ``spare`` parts empty.
+    """
     ends = _bands(percent)
-    band = int(np.searchsorted(ends, len(found), side="right")) - 1
+    most = _most_different(2 * (ends[label + 1] - 1), percent)
+    if not most:  # only equal sets are linked, and those are one member already
+        return 0, 0
+    empty = (most + 1) * np.exp(-ends[max(0, label - 1)] / (most + 1))
+    spare = int(np.ceil(2 * empty)) + 2
+    return most + 1 + spare, spare
+
+
+def _keys(found: np.ndarray, percent: int) -> np.ndarray:
+    """Join keys of a set: every part of its sketch, in its own size band and the next.
+
+    A part is a parity sketch of 2**64 bits, each element flipping one of them, of which the exclusive or of
+    the hashes of its elements is kept. A set that leaves many parts empty has keys of those as well.
+    """
+    band = int(np.searchsorted(_bands(percent), len(found), side="right")) - 1
     keys = []
     for label in (band, band + 1):
-        most = _most_different(2 * (ends[label + 1] - 1), percent)
-        if most:  # else only equal sets are linked, and those are one member already
-            words = sketch(found, most + 1)
-            keys.append(mix(words * np.uint64(0x9E3779B97F4A7C15) + mix(np.arange(most + 1, dtype=np.uint64) + np.uint64(label << 32))))
+        parts, spare = _parts(label, percent)
+        if parts:
+            part = ((found >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # rises with the sorted hashes
+            first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            number, words = part[first], np.bitwise_xor.reduceat(mix(found), first)
+            if parts - len(first) > spare:
+                absent = np.setdiff1d(np.arange(parts, dtype=np.uint64), number, assume_unique=True)
+                number, words = np.concatenate([number, absent]), np.concatenate([words, np.zeros(len(absent), np.uint64)])
+            keys.append(mix(words * np.uint64(0x9E3779B97F4A7C15) + mix(number + np.uint64(label << 32))))
     return np.concatenate(keys) if keys else np.empty(0, np.uint64)
 
 
@@ -82,7 +106,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _sketch_words(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(bucket, member): one row for each sketch word of each document."""
+    """(bucket, member): one row for each part of the sketch of each document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             keys, names = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
