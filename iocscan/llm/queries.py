@@ -135,7 +135,7 @@ def op7(spark, folder):
 @_query("op6_line_dedup")
 def op6(spark, folder):
     from .lines import deduplicate_lines
-    found = deduplicate_lines(_table(spark, folder, "documents"))
+    found = deduplicate_lines(_table(spark, folder, "documents"), least_words=1)
     return found.select(
         F.col("id").alias("doc_id"), "n_lines", "n_kept", F.char_length("text").cast("long").alias("n_chars"),
         F.sha2("text", 256).alias("text_sha256"))
