@@ -1,9 +1,9 @@
 """Best-fit packing of tokenised documents into sequences of fixed length.
 
-Hierarchical residual packing: every partition packs its own pieces by best fit and gives out
-bins that are full or nearly so. Bins that are not are items themselves, which meet in fewer and
-fewer groups up a tree and are packed by best fit again. No task ever sees more than the
-residue of a few others, and a bin holds at most as many pieces as it has tokens.
+Hierarchical residual packing: pieces are dealt out by chance, so that large and small ones of all partitions meet, and each
+group packs its own by best fit and gives out bins that are full or nearly so. All bins that are not are items themselves,
+which are dealt out to fewer and fewer groups up a tree and packed by best fit again. A group has no more bins than a task can hold: where
+many don't fit together the tree ends in several groups, each with a mix of all. A bin holds at most as many pieces as it has tokens.
 """
 
 from __future__ import annotations
@@ -20,17 +20,16 @@ from pyspark.sql import functions as F
 
 from .common import cut, texts_of
 
-#: Level 0 packs so many pieces at a time at most (a bound on memory).
+#: A task packs about so many pieces at most (a bound on memory).
 LOCAL_PIECES = 100_000
-#: Groups that meet in one group of the next level.
+#: Groups whose bins go to one group of the next level.
 FAN_IN = 8
-#: A bin with no more free tokens than this is given out at once, at level 0 and times 4 at each further one.
+#: A bin with no more free tokens than this is given out.
 SLACK = 16
-#: Bins that a group passes on at most, the emptiest ones; the others are given out as they are. So the
-#: root of the tree stays small even where nothing fits together. All pieces are packed either way.
+#: Bins that are passed on to one group, about; for more there are more groups. All bins that are not nearly full are passed on.
 PASSED_ON = 5_000
 _PIECE = pa.struct([("doc", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("crc", pa.int64())])
-_BIN = "node long, number long, of_node long, size long, pieces array<struct<doc:long,piece:int,start:long,length:long,crc:long>>"
+_BIN = "node long, number long, size long, pieces array<struct<doc:long,piece:int,start:long,length:long,crc:long>>"
 _SPECIAL = "<|endoftext|>"
 
 
@@ -90,29 +89,26 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def _table(node: int, bins: list[tuple[int, list[dict]]], first: int = 0) -> pa.RecordBatch:
-    last = first + len(bins)
     return pa.RecordBatch.from_arrays([
-        pa.array([node] * len(bins), pa.int64()), pa.array(range(first, last), pa.int64()),
-        pa.array([last] * len(bins), pa.int64()), pa.array([b[0] for b in bins], pa.int64()), pa.array([b[1] for b in bins], pa.list_(_PIECE)),
-    ], names=["node", "number", "of_node", "size", "pieces"])
+        pa.array([node] * len(bins), pa.int64()), pa.array(range(first, first + len(bins)), pa.int64()),
+        pa.array([b[0] for b in bins], pa.int64()), pa.array([b[1] for b in bins], pa.list_(_PIECE)),
+    ], names=["node", "number", "size", "pieces"])
 
 
 def _fill(items: list[tuple[int, list[dict]]], capacity: int) -> list[tuple[int, list[dict]]]:
-    """Packed bins, the fullest first."""
+    """Packed bins."""
     packed = best_fit([size for size, _ in items], capacity)
-    bins = [(sum(items[i][0] for i in members), [p for i in members for p in items[i][1]]) for members in packed]
-    return sorted(bins, key=lambda b: -b[0])
+    return [(sum(items[i][0] for i in members), [p for i in members for p in items[i][1]]) for members in packed]
 
 
 def _pieces(texts: DataFrame, capacity: int, path: str, end_id: int) -> DataFrame:
-    """Bins of level 0: the pieces of each partition, packed within it."""
+    """Bins of level 0: the pieces of each partition, each in a bin of its own."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         node, encode, number = TaskContext.get().partitionId(), _encoder(path), 0
         end = np.array([end_id], np.uint32)
-        waiting: list[tuple[int, list[dict]]] = []
-        full: list[tuple[int, list[dict]]] = []
+        found: list[tuple[int, list[dict]]] = []
         for batch in batches:
             for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = np.concatenate([encode(text or ""), end]).astype("<u4")
@@ -121,26 +117,23 @@ def _pieces(texts: DataFrame, capacity: int, path: str, end_id: int) -> DataFram
                     length = (len(ids) - start) % capacity or capacity
                     crc = zlib.crc32(ids[start:start + length].tobytes())
                     row = {"doc": doc, "piece": piece, "start": start, "length": length, "crc": crc}
-                    (full if length == capacity else waiting).append((length, [row]))
+                    found.append((length, [row]))
                     start, piece = start + length, piece + 1
-                if len(waiting) >= LOCAL_PIECES or len(full) >= 4096:
-                    if len(waiting) >= LOCAL_PIECES:
-                        full += _fill(waiting, capacity)
-                        waiting = []
-                    yield _table(node, full, number)
-                    number, full = number + len(full), []
-        yield _table(node, full + _fill(waiting, capacity), number)
+                if len(found) >= 4096:
+                    yield _table(node, found, number)
+                    number, found = number + len(found), []
+        yield _table(node, found, number)
     return texts.mapInArrow(run, _BIN)
 
 
-def _merge(bins: DataFrame, capacity: int) -> DataFrame:
-    """Bins of the next level: those of ``FAN_IN`` groups, packed as items."""
+def _merge(bins: DataFrame, capacity: int, groups: int) -> DataFrame:
+    """Bins of the next level: all of ``bins`` dealt out by chance to ``groups`` groups, and packed there as items."""
     def run(table: pa.Table) -> pa.Table:
         node = table.column("node")[0].as_py()
         rows = sorted(table.to_pylist(), key=lambda r: (r["size"], r["was"], r["number"]))
         return pa.Table.from_batches([_table(node, _fill([(r["size"], r["pieces"]) for r in rows], capacity))])
-    groups = bins.withColumn("was", F.col("node")).withColumn("node", F.floor(F.col("node") / FAN_IN))
-    return groups.groupBy("node").applyInArrow(run, _BIN)
+    dealt = bins.withColumn("was", F.col("node")).withColumn("node", F.pmod(F.xxhash64("node", "number"), F.lit(groups).cast("long")))
+    return dealt.groupBy("node").applyInArrow(run, _BIN)
 
 
 def pack_documents(
@@ -160,21 +153,27 @@ def pack_documents(
     docs = texts_of(docs, id_col, text_col)
     done, level = [], 0
     bins = cut(_pieces(docs, capacity, tokenizer, end_id), "bins")
+    groups = (bins.agg(F.max("node")).first()[0] or 0) + 1
     while True:
-        nodes = bins.agg(F.max("node")).first()[0]
-        last = not nodes
-        behind = F.col("of_node") - F.col("number") > PASSED_ON
-        ready = F.lit(True) if last else (F.col("size") >= capacity - SLACK * 4 ** level) | behind
-        done.append(bins.where(ready).select(F.lit(level).cast("long").alias("level"), "node", "number", "pieces"))
+        ready = F.col("size") >= capacity - (SLACK if level else 0)
+        count, pieces = bins.where(~ready).agg(F.count(F.lit(1)), F.sum(F.size("pieces"))).first()
+        least = max(1, -(-(pieces or 0) // LOCAL_PIECES))
+        if level:
+            # no two bins of a group fit together: groups that don't get fewer by half would gain next to nothing
+            fewer = max(-(-groups // FAN_IN), -(-count // PASSED_ON), least)
+            last = groups == 1 or fewer > -(-groups // 2)
+        else:
+            fewer, last = max(groups, least), False
+        last = last or not count
+        done.append((bins if last else bins.where(ready)).select(F.lit(level).cast("long").alias("level"), "node", "number", "pieces"))
         if last:
             break
-        bins = cut(_merge(bins.where(~ready), capacity), "bins")
-        level += 1
+        bins, groups, level = cut(_merge(bins.where(~ready), capacity, fewer), "bins"), fewer, level + 1
     rows = done[0]
     for more in done[1:]:
         rows = rows.union(more)
-    # 4 bits of level, 30 of node, 29 of number
-    sequence = F.shiftleft("level", 59) + F.shiftleft("node", 29) + F.col("number")
+    # 5 bits of level, 29 of node, 29 of number
+    sequence = F.shiftleft("level", 58) + F.shiftleft("node", 29) + F.col("number")
     placed = F.aggregate(
         "pieces", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("offsets")),
         lambda s, p: F.struct((s["at"] + p["length"]).alias("at"), F.concat(s["offsets"], F.array(s["at"])).alias("offsets")),

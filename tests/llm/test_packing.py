@@ -59,3 +59,12 @@ def test_all_bins_reach_the_end(spark, monkeypatch):
 
 def test_empty(spark):
     assert pack_documents(empty(spark), tokenizer=PATH).collect() == []
+
+
+def test_large_and_small_of_different_partitions_meet(spark, monkeypatch):
+    """Long texts in one partition, short ones in the other, and more bins than go to one group: a long and a short one fill a sequence."""
+    monkeypatch.setattr(packing, "PASSED_ON", 50)
+    rows = [(i, "hello " * (1210 if i < 300 else 810)) for i in range(600)]
+    found = pack_documents(table(spark, rows, clash=False).repartitionByRange(2, "doc_id"), tokenizer=PATH).collect()
+    assert sorted(r.id for r in found) == list(range(600))
+    assert len({r.sequence for r in found}) <= 320
