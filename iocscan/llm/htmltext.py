@@ -126,6 +126,9 @@ class _Lines(HTMLParser):
                 self.linked += len(data)
 
 
+_HEADING = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+
+
 def _smoothed(values: list[float], radius: int = 2, sigma: float = 1.0) -> list[float]:
     kernel = [math.exp(-(k * k) / (2 * sigma * sigma)) for k in range(-radius, radius + 1)]
     out = []
@@ -159,19 +162,38 @@ def main_text(html: str) -> str:
             weight.update(dict.fromkeys(path, len(text)))
     total = sum(len(text) for (text, *_), good in zip(lines, content, strict=True) if good)
     named = [e for e, n in weight.items() if parser.elements[e][1] and parser.elements[e][0] in _REGION and 2 * n >= total]
-    if named:  # the innermost of those that hold most of the content
+    if named:
         best = max(weight[e] for e in named)
-        region = max(e for e in named if 10 * weight[e] >= 9 * best)
+        # an article that holds nearly all of it is left only for what has no other article beside it
+        articles = [e for e in named if parser.elements[e][0] == "article" and 10 * weight[e] >= 9 * best]
+        if articles:
+            article = min(articles)
+            around = next(path[:path.index(article)] for *_, path in lines if article in path)
+            others = {e for *_, path in lines if article not in path and any(parser.elements[x][0] == "article" for x in path) for e in path}
+            region = min([article, *(e for e in named if e in around and e not in others)])
+        else:
+            region = min(e for e in named if weight[e] == best)
         return "\n\n".join(text for text, _, _, path in lines if region in path)
     # else down from the root while one child region holds nearly all of it
     region = -1
     for e in sorted(weight):
         if parser.elements[e][0] in _REGION and 10 * weight[e] >= 9 * total:
             region = e
+    down = next((path[:path.index(region) + 1] for *_, path in lines if region in path), ())
     inside = [i for i, line in enumerate(lines) if region < 0 or region in line[3]]
-    good = [i for i in inside if content[i]]
+    good = {i for i in inside if content[i]}
     return "\n\n".join(
-        lines[i][0] for i in inside if good[0] <= i <= good[-1] and (content[i] or 2 * lines[i][2] <= len(lines[i][0])))
+        text for i, (text, _, linked, path) in enumerate(lines)
+        if i in good or 2 * linked <= len(text) and (region < 0 or region in path or _beside(path, down, parser.elements)))
+
+
+def _beside(path: tuple[int, ...], down: tuple[int, ...], elements: list[tuple[str, bool]]) -> bool:
+    """Whether a line is a heading, or a block right below one of the elements ``down`` that lead to the region, and not in a region of its own."""
+    common = 0
+    while common < min(len(path), len(down)) and path[common] == down[common]:
+        common += 1
+    tags = [elements[e][0] for e in path[common:]]
+    return not any(t in _REGION for t in tags) or tags[0] in _REGION and not any(t in _BLOCK for t in tags[1:]) or any(t in _HEADING for t in tags)
 
 
 def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

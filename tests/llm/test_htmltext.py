@@ -58,3 +58,19 @@ def test_odd_rows(spark):
     texts = [r.text for r in found]
     assert texts[:5] == ["", "", "", "x", LONG] and texts[5].count(LONG) == 20_000
     assert extract_main_text(empty(spark, "page_id long, url string, html string")).collect() == []
+
+
+BODY = "".join(f"<p>{LONG} {LONG}</p>" for _ in range(20))
+BODY_TEXT = "\n\n".join([f"{LONG} {LONG}"] * 20)
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<article><h1>Title</h1><p>Lead.</p><div class='entry-content'>{BODY}</div></article>", f"Title\n\nLead.\n\n{BODY_TEXT}"),
+    (f"<main><h1>Title</h1><article>{BODY}</article><p>End.</p></main>", f"Title\n\n{BODY_TEXT}\n\nEnd."),
+    (f"<main><article><h1>Title</h1>{BODY}</article><article><p>Another.</p></article></main>", f"Title\n\n{BODY_TEXT}"),
+    (f"<body><ul><li><a href=1>One</a></li></ul><div><h1>Title</h1><p>Lead.</p><div>{BODY}</div><p>End.</p></div><div><a href=3>Imprint</a></div></body>",
+     f"Title\n\nLead.\n\n{BODY_TEXT}\n\nEnd."),
+    (f"<body><div><h1>Title</h1><p>Lead.</p>{BODY}<p>End.</p></div></body>", f"Title\n\nLead.\n\n{BODY_TEXT}\n\nEnd."),
+])
+def test_titles_and_leads_stay(page, text):
+    assert main_text(page) == text
