@@ -66,3 +66,36 @@ SELECT doc_id, octet_length(b) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT
            CASE WHEN coalesce(last, 1) <= octet_length(b) THEN hex(b[coalesce(last, 1):octet_length(b)]) ELSE '' END))) AS kept_sha256
 FROM texts LEFT JOIN kept USING (doc_id)
 """
+
+#: The same words at a distance, in stretches without a gap; CRC-32 bit by bit.
+RUNS = r"""
+WITH texts AS (
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS w,
+    xor(list_reduce(
+      list_prepend(4294967295::BIGINT, flatten([[ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR c IN string_split(doc_id::VARCHAR, '')])),
+      lambda crc, b: CASE WHEN b >= 0 THEN xor(crc, b) WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END), 4294967295) AS h
+  FROM documents),
+ends AS (SELECT *, len(w) AS n, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM texts),
+periods AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM ends),
+altered AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN [CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END FOR i IN range(n)] ELSE w END AS w
+  FROM periods),
+words AS (SELECT doc_id, n, unnest(range(n)) AS i, unnest(w) AS word FROM altered),
+same AS (
+  SELECT x.doc_id, x.i, y.i - x.i AS d FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+stretches AS (
+  SELECT doc_id, d, min(i) AS start, count(*) + d AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, d ORDER BY i) AS stretch FROM same) GROUP BY doc_id, d, stretch
+  HAVING count(*) >= 3 * d AND count(*) + d >= 6),
+runs AS (SELECT doc_id, start, length, min(d) AS period FROM stretches GROUP BY ALL),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+by_document AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS listed,
+    list(row(start, length, period) ORDER BY length DESC, start, period)[1] AS best
+  FROM runs GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best[1] AS start, best[2] AS length, best[3] AS period, 1000 * best[2] // best[3] AS exponent_milli,
+  sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM altered LEFT JOIN by_document USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

@@ -139,3 +139,16 @@ def op6(spark, folder):
     return found.select(
         F.col("id").alias("doc_id"), "n_lines", "n_kept", F.char_length("text").cast("long").alias("n_chars"),
         F.sha2("text", 256).alias("text_sha256"))
+
+
+@_query("op13_periodic_run_detection", oracles.RUNS)
+def op13(spark, folder):
+    from .runs import longest_run, periodic_runs
+    found = periodic_runs(_table(spark, folder, "documents"), alter=True, collapsed_text=False)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = longest_run(F.col("runs"))
+    return found.select("id", "n_words", "runs", "collapsed_sha256", lines.alias("lines"), best.alias("best")).select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"), F.col("best.period").alias("period"),
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join("lines", "").cast("binary"), 256).alias("runs_sha256"), "collapsed_sha256")
