@@ -152,3 +152,12 @@ def op13(spark, folder):
         F.col("best.length").alias("length"), F.col("best.period").alias("period"),
         F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
         F.sha2(F.array_join("lines", "").cast("binary"), 256).alias("runs_sha256"), "collapsed_sha256")
+
+
+@_query("op11_quality_rules")
+def op11(spark, folder):
+    from .qualityrules import bucket_weights, quality_rules
+    docs = _table(spark, folder, "documents")
+    weights = bucket_weights(docs, _table(spark, folder, "labels").where("quality = 1"))
+    return quality_rules(docs, weights).select(F.col("id").alias("doc_id"), *[
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_ratio", "kept"])
