@@ -161,3 +161,13 @@ def op11(spark, folder):
     weights = bucket_weights(docs, _table(spark, folder, "labels").where("quality = 1"))
     return quality_rules(docs, weights).select(F.col("id").alias("doc_id"), *[
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_ratio", "kept"])
+
+
+@_query("op12_cross_tokenizer_alignment")
+def op12(spark, folder):
+    import public_tokenizers
+
+    from .alignment import token_links
+    found = token_links(
+        _table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), groups=False)
+    return found.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
