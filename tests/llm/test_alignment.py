@@ -48,8 +48,9 @@ def brute(rows):
                 links.append((a[i], b[j]))
                 j += 1
         groups, i, j = [], 0, 0
+        at_a, at_b = ({end: k + 1 for k, end in enumerate(ends)} for ends in (a_ends, b_ends))
         for end in sorted(set(a_ends) & set(b_ends)):
-            to_a, to_b = a_ends.index(end) + 1 if len(a) < 3000 else i + a_ends[i:].index(end) + 1, j + b_ends[j:].index(end) + 1
+            to_a, to_b = at_a[end], at_b[end]
             groups.append(f"{','.join(map(str, a[i:to_a]))}|{','.join(map(str, b[j:to_b]))}")
             i, j = to_a, to_b
         docs.append((doc, a, b, links, groups))
