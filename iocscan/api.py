@@ -21,7 +21,7 @@ from iocscan.operators.leaves import DEPTH
 from iocscan.operators.rules import RuleSet
 from iocscan.schemas import FINDING, HASH, SCAN_ERROR, YARA
 from iocscan.session import prepare
-from iocscan.sources.files import CHUNK_BYTES, OVERLAP_BYTES, digest_files, list_files, read_files, with_file_types
+from iocscan.sources.files import CHUNK_BYTES, OVERLAP_BYTES, digest_files, list_files, read_files, task_count, with_file_types
 from iocscan.sources.iocs import filename_patterns as pattern_list, hash_iocs, hash_list, known_names as name_table
 from iocscan.sources.rulefiles import load_rules
 
@@ -32,16 +32,16 @@ _ERROR = SCAN_ERROR.fieldNames()
 class ScanResult:
     """``findings`` (``schemas.FINDING``) and ``errors`` (``schemas.SCAN_ERROR``), both lazy.
 
-    The listing of a file tree is kept until ``release`` is called.
+    The listing of a file tree, and what one reading gives for both, are kept until ``release`` is called.
     """
 
     findings: DataFrame
     errors: DataFrame
-    kept: DataFrame | None = None
+    kept: Sequence[DataFrame] = ()
 
     def release(self) -> None:
-        if self.kept is not None:
-            self.kept.unpersist()
+        for frame in self.kept:
+            frame.unpersist()
 
 
 def _union(parts: list[DataFrame], spark: SparkSession, schema) -> DataFrame:
@@ -62,13 +62,15 @@ def one_pass(
     watched: Sequence[str] = (),
     hashes: digests.HashList | None = None,
     rule_route: Column | None = None,
+    with_errors: bool = False,
 ) -> DataFrame:
     """Findings of all row-local detectors in a single scan of the artifacts.
 
     Content rules, name detectors and digests are evaluated side by side on each
     row, so the content is read once however many detectors are on. ``hashes`` must
     be small enough to broadcast. ``rule_route`` restricts the content rules to
-    the artifacts that are scanned as they are.
+    the artifacts that are scanned as they are. ``with_errors``: artifacts have an ``error``; where it is set there is one row with it in
+    ``message`` and nothing else, and findings have no message.
     """
     # Every possible finding has a number: rules, then names, then digests. The
     # pass over the content yields the numbers that apply to a row.
@@ -85,8 +87,9 @@ def one_pass(
         positions_where(tests), F.array(*[F.lit(first_digest + i) for i in range(len(algorithms))]).cast("array<int>")
     )
     shown = F.array(*digests.shown_digests(algorithms, F.col("content"))).cast("array<string>")
+    message = F.col("error") if with_errors else F.lit(None).cast("string")
     if rules is None:
-        rows = artifacts.select("path", "basename", shown.alias("_digests"), numbers.alias("_numbers"))
+        rows = artifacts.select("path", "basename", shown.alias("_digests"), numbers.alias("_numbers"), message.alias("message"))
     else:
         scanned = scan_units.with_externals(artifacts)
         raw = F.lit(True) if rule_route is None else rule_route
@@ -94,31 +97,33 @@ def one_pass(
         searched = F.col("content") if rule_route is None else F.when(raw, F.col("content"))
         units = scanned.select(
             *[c for c in scanned.columns if c != "content"], searched.alias("content"),
-            shown.alias("_digests"), numbers.alias("_others"), raw.alias("_raw"),
+            shown.alias("_digests"), numbers.alias("_others"), raw.alias("_raw"), message.alias("message"),
         )
         hits = rules_on.unit_hits(
-            units, rules, keep=["path", "basename", "_digests", "_others", "_raw"], arrow=False
+            units, rules, keep=["path", "basename", "_digests", "_others", "_raw", "message"], arrow=False
         )
         by_rules = F.when(F.col("_raw"), F.col("rules")).otherwise(F.array().cast("array<int>"))
-        rows = hits.select("path", "basename", "_digests", F.concat(by_rules, "_others").alias("_numbers"))
-    number = F.col("_number")
+        rows = hits.select("path", "basename", "_digests", F.concat(by_rules, "_others").alias("_numbers"), "message")
+    number = F.greatest("_number", F.lit(0))
     is_digest = number >= first_digest
-    findings = exploded(rows, F.col("_numbers"), "_number", "path", "basename", "_digests").select(
+    numbers = F.when(F.col("message").isNull(), F.col("_numbers")).otherwise(F.array(F.lit(-1))) if with_errors else F.col("_numbers")
+    findings = exploded(rows, numbers, "_number", "path", "basename", "_digests", "message").select(
         finding(
             F.lit(scanners)[number],
             F.when(is_digest, F.col("_digests")[number - first_digest]).otherwise(F.lit(labels or [""])[number]),
             F.col("path"), F.when(is_digest, F.col("basename")).otherwise(F.col("path")),
-        ).alias("f")
-    ).select("f.*")
+        ).alias("f"), *(["message"] if with_errors else [])
+    ).select("f.*", *(["message"] if with_errors else []))
     if hashes is None:
         return findings
     # digests stay only if they are in the list
     listed = hashes.table.select(F.concat_ws(":", "algo", "digest").alias("_digest"), F.lit(True).alias("_listed"))
+    stays = (F.col("scanner") != HASH) | F.col("_listed")
     return (
         findings.withColumn("_digest", F.when(F.col("scanner") == HASH, F.col("rule_name")))
         .join(F.broadcast(listed), "_digest", "left")
-        .where((F.col("scanner") != HASH) | F.col("_listed"))
-        .select(*COLUMNS)
+        .where(stays | F.col("message").isNotNull() if with_errors else stays)
+        .select(*COLUMNS, *(["message"] if with_errors else []))
     )
 
 
@@ -181,16 +186,28 @@ def scan(
     listed = None if iocs is None else digests.HashList.of(iocs)
     small_iocs = listed if listed is not None and listed.small else None
 
+    kept: list[DataFrame] = []
+    tasks = None
+
     def read_ok(files: DataFrame) -> DataFrame:
-        return read_files(files, chunk_bytes).where(F.col("error").isNull()).drop("error")
+        return read_files(files, chunk_bytes, tasks=tasks).where(F.col("error").isNull()).drop("error")
+
+    def take(outcomes: DataFrame, scanner: str, stage: str, path: str = "artifact_path") -> None:
+        """Findings and errors of one evaluation."""
+        outcomes = outcomes.persist(StorageLevel.MEMORY_AND_DISK)
+        kept.append(outcomes)
+        found.append(outcomes.where(F.col("message").isNull()).select(*COLUMNS))
+        errors.append(_errors(outcomes, path, scanner, stage, "message"))
 
-    listing = kept = None
+    listing = None
     if isinstance(artifacts, str):
         listing = names.exclude_names(list_files(spark, artifacts), excluded)
         if rules is not None:
             listing = with_file_types(listing)
         # walked once; a lost block is walked again
-        kept = listing = listing.persist(StorageLevel.MEMORY_AND_DISK)
+        listing = listing.persist(StorageLevel.MEMORY_AND_DISK)
+        kept.append(listing)
+        tasks = task_count(listing)
         errors.append(_errors(listing, "path", "", "walk", "error"))
         # a name is tested whether or not its file can be read
         name_rows = listing = listing.where(F.col("error").isNull())
@@ -198,7 +215,6 @@ def scan(
             errors.append(_errors(listing, "path", "", "read", "head_error"))
             listing = listing.where(F.col("head_error").isNull()).drop("head_error")
         large = listing.where(F.col("length") > chunk_bytes)
-        errors.append(_errors(read_files(listing, chunk_bytes), "path", "", "read", "error"))
         table = read_ok(listing)
     else:
         table = artifacts if "basename" in artifacts.columns else artifacts.select(
@@ -229,7 +245,10 @@ def scan(
     by_content = native or small_iocs is not None
     if listing is not None:
         if by_content:
-            found.append(one_pass(table, rules if native else None, (), (), small_iocs, plain if native else None))
+            tagged = read_files(listing, chunk_bytes, tasks=tasks)
+            take(one_pass(tagged, rules if native else None, (), (), small_iocs, plain if native else None, with_errors=True), "", "read")
+        elif rules is not None or listed is not None or detectors:
+            errors.append(_errors(read_files(listing, chunk_bytes, tasks=tasks), "path", "", "read", "error"))
         if patterns or watched:
             found.append(one_pass(name_rows, None, patterns, watched))
     elif patterns or watched or by_content:
@@ -240,7 +259,7 @@ def scan(
     if listed is not None and not listed.small:
         found.append(digests.hash_findings(table, listed))
     if listed is not None and listing is not None:
-        streamed = digest_files(large, listed.algorithms)
+        streamed = digest_files(large, listed.algorithms, tasks)
         errors.append(_errors(streamed, "path", HASH, "read", "error"))
         found.append(digests.hash_findings(streamed.where(F.col("error").isNull()), listed))
 
@@ -267,22 +286,31 @@ def scan(
         if registry_values is not None:
             sources.append(scan_units.registry_units(registry_values))
         if pieces_of is not None:
-            read = read_files(pieces_of, chunk_bytes, overlap, chunked=True)
+            read = read_files(pieces_of, chunk_bytes, overlap, chunked=True, tasks=tasks)
             errors.append(_errors(read, "path", YARA, "read", "error"))
             pieces.append(scan_units.chunk_units(read.where(F.col("error").isNull())))
+        tagged = rule_timeout_s is not None and not details
         search = rules_on.rule_findings_with_matches if details else rules_on.rule_findings
         for source in sources:
-            found.append(search(source, rules, rule_timeout_s))
+            if tagged:
+                take(rules_on.rule_outcomes(source, rules, rule_timeout_s), YARA, "match", "found_in_file")
+            else:
+                found.append(search(source, rules, rule_timeout_s))
         if uncovered is not None:
             rest = scan_units.raw_units(scan_units.with_externals(table.where(F.col("filetype") == "reg")))
             found.append(search(rest, rules, rule_timeout_s).join(
                 uncovered.select(F.col("path").alias("artifact_path")), "artifact_path", "left_anti").select(*COLUMNS))
-            sources.append(rest)
+            if details:
+                sources.append(rest)
         search = rules_on.chunked_findings_with_matches if details else rules_on.rule_findings
         for piece in pieces:
-            found.append(search(piece, rules, rule_timeout_s))
+            if tagged:
+                take(rules_on.rule_outcomes(piece, rules, rule_timeout_s), YARA, "match", "found_in_file")
+            else:
+                found.append(search(piece, rules, rule_timeout_s))
         if rule_timeout_s is not None:
-            for source in [*sources, *pieces]:
+            # matches are collected from content, which is not kept: with details late units are found in a search of their own
+            for source in [*sources, *pieces] if details else [rest] if uncovered is not None else []:
                 late = rules_on.unit_hits(source, rules, keep=["found_in_file"], deadline_s=rule_timeout_s)
                 errors.append(_errors(late, "found_in_file", YARA, "match", "error"))
     for detector in detectors:

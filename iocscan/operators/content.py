@@ -444,6 +444,19 @@ def rule_name(rules: RuleSet, position: Column) -> Column:
     return F.lit([r.rule_id for r in rules.rules])[position]
 
 
+def rule_outcomes(units: DataFrame, rules: RuleSet, deadline_s: float | None = None) -> DataFrame:
+    """Findings as in ``rule_findings``, and one row with a ``message`` for each unit that was not searched to its end."""
+    hits = unit_hits(units, rules, deadline_s=deadline_s)
+    kept = ["artifact_path", "found_in_file", "value_data", "contained_file", "error"]
+    numbers = F.when(F.col("error").isNull(), F.col("rules")).otherwise(F.array(F.lit(-1)))
+    return exploded(hits, numbers, "rule", *kept).select(
+        finding(
+            YARA, rule_name(rules, F.greatest("rule", F.lit(0))), F.col("artifact_path"), F.col("found_in_file"),
+            F.col("value_data"), F.col("contained_file"),
+        ).alias("f"), F.col("error").alias("message")
+    ).select("f.*", "message")
+
+
 def rule_findings(units: DataFrame, rules: RuleSet, deadline_s: float | None = None, arrow: bool | None = None) -> DataFrame:
     """One finding per unit and rule, without the matches."""
     hits = unit_hits(units, rules, deadline_s=deadline_s, arrow=arrow)

@@ -15,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from iocscan.schemas import UNIT
 from iocscan.sources.files import CHUNK_BYTES, OVERLAP_BYTES
+from iocscan.sources.stores import store_of
 
 _FLUSH_BYTES = 32 * 1024 * 1024
 _STEP = 1024 * 1024
@@ -148,7 +149,7 @@ def _units_of(row: dict, budget: int | None, chunk: int, overlap: int) -> Iterat
     content = row.get("content")
 
     def opened():
-        return io.BytesIO(content) if content is not None else open(row["path"], "rb")
+        return io.BytesIO(content) if content is not None else store_of(row["path"]).open(row["path"])
 
     def member(info: zipfile.ZipInfo) -> Iterator[bytes]:
         with archive.open(info) as stream:

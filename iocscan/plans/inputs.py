@@ -10,7 +10,6 @@ import bz2
 import gzip
 import io
 import lzma
-import os
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -18,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from iocscan.functions.names import WELL_KNOWN_NAMES
 from iocscan.operators.units import artifacts_from
 from iocscan.session import work_folder
+from iocscan.sources.stores import on_mount, store_of
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -45,15 +45,12 @@ def artifacts(spark: SparkSession, folder: str) -> DataFrame:
 
 def file_tree(spark: SparkSession, folder: str) -> str:
     """The documents written as files below a fresh shared folder, which is returned."""
-    root = work_folder(spark, "tree").removeprefix("file://")
+    root = on_mount(work_folder(spark, "tree"))
 
     def write(frames):
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"]):
-                place = root + path
-                os.makedirs(os.path.dirname(place), exist_ok=True)
-                with open(place, "wb") as file:
-                    file.write(content)
+                store_of(root).write(root + path, content)
             yield frame[["path"]]
     artifacts(spark, folder).select("path", "content").mapInPandas(write, "path string").write.format("noop").mode("overwrite").save()
     return root

@@ -1,4 +1,4 @@
-"""Evidence files on a file system that all executors can see.
+"""Evidence files on a file system that all executors can see, or in a store named by a URI (``stores``).
 
 Spark's own binary file source leaves out dot-files, files that begin with an
 underscore and empty files, and follows links; none of that is acceptable for
@@ -10,9 +10,6 @@ listing is shuffled.
 from __future__ import annotations
 
 import hashlib
-import os
-import pwd
-import stat
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,6 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from iocscan.functions.content import MAGIC
 from iocscan.functions.names import basename
 from iocscan.session import prepare
+from iocscan.sources.stores import _shown, on_mount, store_of
 
 LISTED = T.StructType([
     T.StructField("path", T.StringType()),
@@ -34,6 +32,8 @@ LISTED = T.StructType([
 
 #: Files above this size are read in several pieces.
 CHUNK_BYTES = 64 * 1024 * 1024
+#: Bytes of files that a task reads, about, and tasks of a scan at most.
+TASK_BYTES, MOST_TASKS = 256 * 1024 * 1024, 1_000_000
 #: Bytes read on both sides of a piece; no match may be longer.
 OVERLAP_BYTES = 64 * 1024
 
@@ -45,37 +45,14 @@ class Subtree(InputPartition):
         self.folder, self.deep = folder, deep
 
 
-def _shown(path: str) -> str:
-    return path.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
-
-
-def _owner(info: os.stat_result) -> str:
-    try:
-        return pwd.getpwuid(info.st_uid).pw_name
-    except KeyError:
-        return str(info.st_uid)
-
-
-def _file_row(path: str) -> tuple | None:
-    try:
-        info = os.lstat(path)
-        if not stat.S_ISREG(info.st_mode):
-            return None
-        path.encode("utf-8")
-        return path, info.st_size, int(info.st_mtime), _owner(info), None
-    except UnicodeEncodeError:
-        return _shown(path), None, None, None, "the name is not valid UTF-8"
-    except OSError as error:
-        return _shown(path), None, None, None, str(error)
-
-
 class ListingReader(DataSourceReader):
     def __init__(self, root: str, partitions: int):
         self.root, self.wanted = root, partitions
 
     def partitions(self) -> list[InputPartition]:
         """Open directories from the top until there are enough to share out."""
-        if not os.path.isdir(self.root):
+        store = store_of(self.root)
+        if not store.is_folder(self.root):
             return [Subtree(self.root, False)]
         done: list[InputPartition] = []
         front = [self.root]
@@ -83,15 +60,15 @@ class ListingReader(DataSourceReader):
             folder = front.pop(0)
             done.append(Subtree(folder, False))
             try:
-                with os.scandir(folder) as entries:
-                    front += sorted(e.path for e in entries if e.is_dir(follow_symlinks=False))
+                front += store.folders(folder)
             except OSError:
                 continue  # reported by the task that lists the folder
         return done + [Subtree(folder, True) for folder in front]
 
     def read(self, partition: Subtree) -> Iterator[tuple]:
-        if not os.path.isdir(partition.folder):
-            row = _file_row(partition.folder)
+        store = store_of(partition.folder)
+        if not store.is_folder(partition.folder):
+            row = store.row(partition.folder)
             if row is not None:
                 yield row
             return
@@ -99,15 +76,11 @@ class ListingReader(DataSourceReader):
         while pending:
             folder = pending.pop()
             try:
-                with os.scandir(folder) as entries:
-                    for entry in entries:
-                        if entry.is_dir(follow_symlinks=False):
-                            if partition.deep:
-                                pending.append(entry.path)
-                        elif not entry.is_symlink():
-                            row = _file_row(entry.path)
-                            if row is not None:
-                                yield row
+                for path, row in store.entries(folder):
+                    if row is not None:
+                        yield row
+                    elif partition.deep:
+                        pending.append(path)
             except OSError as error:
                 yield _shown(folder), None, None, None, str(error)
 
@@ -127,22 +100,33 @@ class FileListing(DataSource):
 
 
 def list_files(spark: SparkSession, path: str = "/", partitions: int | None = None) -> DataFrame:
-    """``path, basename, length, modified, owner, error`` of all regular files below ``path``."""
+    """``path, basename, length, modified, owner, error`` of all regular files below ``path``, a path or a URI.
+
+    Paths come out as they would be opened: plain ones below a plain path or a ``file:`` URI, URIs below any other, where ``owner`` is null.
+    """
     prepare(spark)
     spark.dataSource.register(FileListing)
+    path = on_mount(path)
     wanted = partitions or 4 * spark.sparkContext.defaultParallelism
     listed = spark.read.format("file_listing").option("path", path).option("partitions", wanted).load()
     return listed.select("path", basename(F.col("path")).alias("basename"), "length", "modified", "owner", "error")
 
 
-def _pieces(listing: DataFrame, chunk_bytes: int) -> DataFrame:
+def task_count(listing: DataFrame) -> int:
+    """Tasks that read all files of a listing: one for about ``TASK_BYTES``, and at least four for each core."""
+    cores = 4 * listing.sparkSession.sparkContext.defaultParallelism
+    total = listing.agg(F.sum("length")).first()[0] or 0
+    return max(cores, min(-(-total // TASK_BYTES), MOST_TASKS))
+
+
+def _pieces(listing: DataFrame, chunk_bytes: int, tasks: int | None) -> DataFrame:
     """One row per piece of each readable file, spread evenly over the tasks."""
     starts = F.sequence(
         F.lit(0).cast("long"),
         F.greatest(F.col("length") - 1, F.lit(0).cast("long")),
         F.lit(chunk_bytes).cast("long"),
     )
-    spread = listing.sparkSession.sparkContext.defaultParallelism * 4
+    spread = tasks or listing.sparkSession.sparkContext.defaultParallelism * 4
     return (
         listing.where(F.col("error").isNull())
         .select("*", F.explode(starts).alias("chunk_start"))
@@ -155,18 +139,18 @@ _READ = [T.StructField("content", T.BinaryType()), T.StructField("error", T.Stri
 
 def read_files(
     listing: DataFrame, chunk_bytes: int = CHUNK_BYTES, overlap_bytes: int = OVERLAP_BYTES,
-    chunked: bool = False,
+    chunked: bool = False, tasks: int | None = None,
 ) -> DataFrame:
     """Add ``content``; a file that cannot be read has ``error`` instead.
 
     With ``chunked`` there is one row per piece, with ``chunk_start``,
     ``chunk_length`` (the piece itself), ``chunk_lead`` (overlap before it) and
-    ``filesize``; without, files of more than ``chunk_bytes`` are left to it.
+    ``filesize``; without, files of more than ``chunk_bytes`` are left to it. ``tasks``: see ``task_count``.
     """
     if chunked:
-        pieces = _pieces(listing, chunk_bytes)
+        pieces = _pieces(listing, chunk_bytes, tasks)
     else:
-        pieces = _pieces(listing.where(F.col("length") <= chunk_bytes), chunk_bytes)
+        pieces = _pieces(listing.where(F.col("length") <= chunk_bytes), chunk_bytes, tasks)
     kept = [f for f in pieces.schema.fields if f.name not in ("error", "content")]
     extra = [
         T.StructField("chunk_lead", T.LongType()), T.StructField("chunk_length", T.LongType()),
@@ -180,7 +164,7 @@ def read_files(
         lead = min(start, overlap_bytes) if chunked else 0
         own = min(chunk_bytes, max(row["length"] - start, 0))
         try:
-            with open(row["path"], "rb") as stream:
+            with store_of(row["path"]).open(row["path"]) as stream:
                 stream.seek(start - lead)
                 row["content"] = stream.read(lead + own + (overlap_bytes if chunked else 0))
         except OSError as error:
@@ -204,7 +188,7 @@ def read_files(
     return read if chunked else read.drop("chunk_start")
 
 
-def digest_files(listing: DataFrame, algos: list[str]) -> DataFrame:
+def digest_files(listing: DataFrame, algos: list[str], tasks: int | None = None) -> DataFrame:
     """Digests of whole files of any size, read as a stream: ``digest_md5`` and so on."""
     names = [f"digest_{a.lower()}" for a in algos]
     kept = [f for f in listing.schema.fields if f.name != "error"]
@@ -219,7 +203,7 @@ def digest_files(listing: DataFrame, algos: list[str]) -> DataFrame:
             for row in rows:
                 hashers = {n: hashlib.new(n.removeprefix("digest_")) for n in names}
                 try:
-                    with open(row["path"], "rb") as stream:
+                    with store_of(row["path"]).open(row["path"]) as stream:
                         while piece := stream.read(1 << 20):
                             for hasher in hashers.values():
                                 hasher.update(piece)
@@ -228,7 +212,7 @@ def digest_files(listing: DataFrame, algos: list[str]) -> DataFrame:
                     row["error"] = str(error)
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    spread = listing.sparkSession.sparkContext.defaultParallelism * 4
+    spread = tasks or listing.sparkSession.sparkContext.defaultParallelism * 4
     return listing.where(F.col("error").isNull()).repartition(spread).mapInArrow(run, schema)
 
 
@@ -247,7 +231,7 @@ def with_file_types(listing: DataFrame) -> DataFrame:
                 row["filetype"], row["head_error"] = "raw", None
                 if row["error"] is None:
                     try:
-                        with open(row["path"], "rb") as stream:
+                        with store_of(row["path"]).open(row["path"]) as stream:
                             head = stream.read(longest)
                         row["filetype"] = next((n for n, p in prefixes.items() if head.startswith(p)), "raw")
                     except OSError as error:
