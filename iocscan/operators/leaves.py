@@ -2,58 +2,28 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from pyspark.sql import Column, DataFrame, functions as F
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.pandas.types import to_arrow_schema
+from iocscan.operators.findings import exploded
 
-#: Levels that are opened by built-in steps; what lies deeper is walked in one Arrow step.
+#: Levels that are opened step by step; what lies deeper is searched as JSON text.
 DEPTH = 12
+#: A key with its colon, or a string as a group. Neither can be given back, so the search is a loop however long they are.
+_TOKEN = r'"(?:[^"\\]++|\\.)*+":|("(?:[^"\\]++|\\.)*+")'
 
 
-def _deep_leaves(nodes: DataFrame) -> DataFrame:
-    """Adds ``_leaf`` and ``_message`` for each string below the JSON text ``_json``, at whatever depth."""
-    kept = [f for f in nodes.schema.fields if f.name != "_json"]
-    schema = T.StructType([*kept, T.StructField("_leaf", T.StringType()), T.StructField("_message", T.StringType())])
-    arrow = to_arrow_schema(schema)
-
-    def strings(text: str) -> Iterator[str]:
-        pending = [json.loads(text)]
-        while pending:
-            node = pending.pop()
-            if isinstance(node, str):
-                yield node
-            elif isinstance(node, dict):
-                pending += reversed(node.values())
-            elif isinstance(node, list):
-                pending += reversed(node)
-
-    def run(batches):
-        for batch in batches:
-            places, leaves, messages = [], [], []
-            for i, text in enumerate(batch.column("_json").to_pylist()):
-                try:
-                    found, message = list(strings(text)), None
-                except RecursionError:
-                    found, message = [None], "record nested too deep to be read"
-                places += [i] * len(found)
-                leaves += found
-                messages += [message] * len(found)
-            taken = batch.select([f.name for f in kept]).take(pa.array(places, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [*[taken.column(f.name).cast(arrow.field(f.name).type) for f in kept], pa.array(leaves, pa.string()), pa.array(messages, pa.string())],
-                schema=arrow)
-    return nodes.mapInArrow(run, schema)
+def _deep_strings(node: Column) -> Column:
+    """All strings below a variant, at whatever depth: keys are passed over in its JSON text, which has no blanks."""
+    found = F.filter(F.regexp_extract_all(F.to_json(node), F.lit(_TOKEN), F.lit(1)), lambda token: token != "")
+    return F.transform(found, lambda token: F.variant_get(F.parse_json(token), "$", "string"))
 
 
 def string_leaves(records: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
     """All string values at any level of ``data``, and the records in error.
 
-    One level is opened per step by exploding a variant, all of it map-side: a
+    One level is opened per step by exploding a variant, all of it map-side and evaluated once: a
     node that is no object or array passes through unchanged. Keys, numbers,
-    booleans and nulls are no leaves. Only nodes below ``depth`` levels leave the JVM. The result has the columns of ``records``
+    booleans and nulls are no leaves. The result has the columns of ``records``
     and ``leaf``; errors have ``file, record_id, message``.
     """
     parsed = records.select("*", F.try_parse_json("data").alias("_node"))
@@ -66,14 +36,10 @@ def string_leaves(records: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, Da
         )
     view = records.sparkSession.sql(level, parsed=parsed)
     kind = F.schema_of_variant("_node")
-    leaves = view.where(kind == "STRING").select(
-        *records.columns, F.variant_get("_node", "$", "string").alias("leaf")
-    )
+    # an empty container is a leaf without text, not a deeper level
+    closed = (kind.startswith("OBJECT") | kind.startswith("ARRAY")) & ~kind.isin("OBJECT<>", "ARRAY<VOID>")
+    texts = F.when(kind == "STRING", F.array(F.variant_get("_node", "$", "string"))).when(closed, _deep_strings(F.col("_node")))
     unread = parsed.where(F.col("_node").isNull() & F.col("data").isNotNull()).select(
         "file", "record_id", F.lit("malformed record").alias("message")
     )
-    # an empty container is a leaf without text, not a deeper level
-    closed = (kind.startswith("OBJECT") | kind.startswith("ARRAY")) & ~kind.isin("OBJECT<>", "ARRAY<VOID>")
-    deep = _deep_leaves(view.where(closed).select(*records.columns, F.to_json("_node").alias("_json")))
-    leaves = leaves.unionByName(deep.where(F.col("_leaf").isNotNull()).select(*records.columns, F.col("_leaf").alias("leaf")))
-    return leaves, unread.unionByName(deep.where(F.col("_message").isNotNull()).select("file", "record_id", F.col("_message").alias("message")))
+    return exploded(view, texts, "leaf", *records.columns), unread
