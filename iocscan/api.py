@@ -315,4 +315,14 @@ def scan(
                 errors.append(_errors(late, "found_in_file", YARA, "match", "error"))
     for detector in detectors:
         found.append(detector.detect(table).select(*COLUMNS))
+        if listing is None:
+            continue
+        name = getattr(detector, "name", type(detector).__name__)
+        if hasattr(detector, "detect_pieces"):
+            read = read_files(large, chunk_bytes, detector.overlap_bytes, chunked=True, tasks=tasks)
+            errors.append(_errors(read, "path", name, "read", "error"))
+            found.append(detector.detect_pieces(read.where(F.col("error").isNull())).select(*COLUMNS))
+        else:
+            unseen = F.lit(f"larger than {chunk_bytes} bytes, and the detector takes whole files")
+            errors.append(_errors(large.select("path", unseen.alias("message")), "path", name, "detect", "message"))
     return ScanResult(_union(found, spark, FINDING), _union(errors, spark, SCAN_ERROR), kept)

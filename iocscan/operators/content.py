@@ -532,7 +532,7 @@ def collect_matches(hits: DataFrame, rules: RuleSet) -> DataFrame:
 
     return hits.select(
         "artifact_path", "found_in_file", "value_data", "contained_file", "rules", "content"
-    ).mapInArrow(collect, FINDING)
+    ).mapInArrow(collect, FINDING).withColumn("part", F.lit(0).cast("long"))  # known to the plan
 
 
 #: Copies of the verdicts of large files, so that the pieces of one file are
@@ -543,8 +543,8 @@ CHUNK_SALTS = 16
 def chunked_findings_with_matches(pieces: DataFrame, rules: RuleSet, deadline_s: float | None = None) -> DataFrame:
     """Findings with matches for files that were read in pieces.
 
-    The list of all matches in a huge file is never built: part 0 of a finding
-    has the strings without any match, and every piece with matches adds a part.
+    The list of all matches in a huge file is never built: part 1 of a finding
+    has the strings without any match, and every piece with matches adds a part 2 (see ``schemas.FINDING``).
     """
     keep = [c for c in CARRIED if c in pieces.columns]
     seen = RuleSet(rules.rules)
@@ -566,16 +566,17 @@ def chunked_findings_with_matches(pieces: DataFrame, rules: RuleSet, deadline_s:
         ])) if r.strings else F.array().cast(STRING_MATCHES)
         for r in rules.rules
     ])[F.col("rule")]
+    absent = F.when((F.size(absent) > 0) | F.lit([not r.strings for r in rules.rules])[F.col("rule")], absent)
     first = verdicts.select(
         finding(
             YARA, rule_name(rules, F.col("rule")), F.col("artifact_path"), F.col("found_in_file"),
-            F.col("value_data"), F.col("contained_file"), strings=absent,
+            F.col("value_data"), F.col("contained_file"), F.lit(1), absent,
         ).alias("f")
     ).select("f.*")
     all_rules = [(i, r) for i, r in rules.reported if r.strings]
     schema = T.StructType([
         T.StructField("found_in_file", T.StringType()), T.StructField("rule", T.IntegerType()),
-        T.StructField("part", T.LongType()), T.StructField("strings", STRING_MATCHES),
+        T.StructField("place", T.LongType()), T.StructField("strings", STRING_MATCHES),
     ])
     arrow = to_arrow_schema(schema)
 
@@ -590,18 +591,18 @@ def chunked_findings_with_matches(pieces: DataFrame, rules: RuleSet, deadline_s:
                     "ends": row["chunk_start"] - row["chunk_lead"] + len(row["content"]) >= row["filesize"],
                 }
                 for i, rule, search in searches:
-                    lists = [x for x in _match_lists(search, rule, row["content"], **place) if x["matches"]]
-                    if lists:
+                    lists = _match_lists(search, rule, row["content"], **place)
+                    if any(x["matches"] for x in lists):
                         out.append({
                             "found_in_file": row["found_in_file"], "rule": i,
-                            "part": row["chunk_start"] + 1, "strings": lists,
+                            "place": row["chunk_start"], "strings": lists,
                         })
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     matches = pieces.select(
         "found_in_file", "chunk_start", "chunk_lead", "chunk_length", "filesize", "content"
-    ).mapInArrow(collect, schema).withColumn("salt", F.pmod(F.xxhash64("part"), F.lit(CHUNK_SALTS)).cast("int"))
+    ).mapInArrow(collect, schema).withColumn("salt", F.pmod(F.xxhash64("place"), F.lit(CHUNK_SALTS)).cast("int"))
     salted = verdicts.select(
         "artifact_path", "found_in_file", "value_data", "contained_file", "rule",
         F.explode(F.sequence(F.lit(0), F.lit(CHUNK_SALTS - 1))).alias("salt"),
@@ -609,7 +610,7 @@ def chunked_findings_with_matches(pieces: DataFrame, rules: RuleSet, deadline_s:
     further = matches.join(salted, ["found_in_file", "rule", "salt"]).select(
         finding(
             YARA, rule_name(rules, F.col("rule")), F.col("artifact_path"), F.col("found_in_file"),
-            F.col("value_data"), F.col("contained_file"), F.col("part"), F.col("strings"),
+            F.col("value_data"), F.col("contained_file"), F.lit(2), F.col("strings"),
         ).alias("f")
     ).select("f.*")
     return first.unionByName(further)

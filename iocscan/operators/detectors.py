@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable
-from typing import Protocol, runtime_checkable
+from dataclasses import dataclass
+from functools import reduce
+from typing import Any, Protocol, runtime_checkable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from iocscan.operators.findings import COLUMNS, finding
@@ -15,7 +19,8 @@ class Detector(Protocol):
     """Anything with ``detect``: artifacts in, findings (``schemas.FINDING``) out.
 
     Artifacts have ``path``, ``basename`` and ``content``; columns that are not
-    used are not read.
+    used are not read. Files above the size of a piece come only to detectors that also have
+    ``detect_pieces`` (and ``overlap_bytes``, what they want to see on both sides of a piece); for others such files are reported as errors.
     """
 
     def detect(self, artifacts: DataFrame) -> DataFrame: ...
@@ -62,3 +67,68 @@ class BytesDetector:
         return hits.select(
             finding(self.name, F.col("rule_name"), F.col("path"), F.col("path"), F.col("value")).alias("f")
         ).select("f.*").select(*COLUMNS)
+
+
+@dataclass(frozen=True)
+class Piece:
+    """A stretch of a file: its own bytes are ``data[lead:lead + length]`` and begin at ``start`` in the file of ``filesize`` bytes."""
+
+    data: bytes
+    start: int
+    lead: int
+    length: int
+    filesize: int
+
+    @property
+    def own(self) -> bytes:
+        return self.data[self.lead:self.lead + self.length]
+
+
+class PieceDetector:
+    """A detector of files of any size: a state for each piece, merged in order of the file, and findings from the state of the whole.
+
+    ``of_piece(piece)`` gives a state, ``merge(left, right)`` the state of two neighbours together, and ``finish(state)`` yields
+    ``(rule_name, value)`` for every finding. States are small and can be pickled. A file that is read whole is one piece, so its size
+    changes nothing. Only states are shuffled.
+    """
+
+    def __init__(
+        self, name: str, of_piece: Callable[[Piece], Any], merge: Callable[[Any, Any], Any], finish: Callable, overlap_bytes: int = 0,
+    ):
+        self.name, self.of_piece, self.merge, self.finish, self.overlap_bytes = name, of_piece, merge, finish, overlap_bytes
+
+    def _findings(self, hits: DataFrame) -> DataFrame:
+        return hits.select(
+            finding(self.name, F.col("rule_name"), F.col("path"), F.col("path"), F.col("value")).alias("f")
+        ).select("f.*").select(*COLUMNS)
+
+    def detect(self, artifacts: DataFrame) -> DataFrame:
+        of_piece, finish = self.of_piece, self.finish
+
+        def run(frames):
+            for frame in frames:
+                found = [
+                    (path, rule, value) for path, data in zip(frame["path"], frame["content"]) if data is not None
+                    for rule, value in finish(of_piece(Piece(bytes(data), 0, 0, len(data), len(data))))]
+                yield pd.DataFrame(found, columns=["path", "rule_name", "value"])
+        return self._findings(artifacts.select("path", "content").mapInPandas(run, "path string, rule_name string, value string"))
+
+    def detect_pieces(self, pieces: DataFrame) -> DataFrame:
+        """``pieces`` as ``sources.files.read_files`` makes them, without those in error."""
+        of_piece, merge, finish = self.of_piece, self.merge, self.finish
+
+        def states(frames):
+            for frame in frames:
+                rows = zip(*(frame[c] for c in ("path", "chunk_start", "chunk_lead", "chunk_length", "filesize", "content")))
+                made = [
+                    (path, start, pickle.dumps(of_piece(Piece(bytes(data), start, lead, length, size))))
+                    for path, start, lead, length, size, data in rows]
+                yield pd.DataFrame(made, columns=["path", "place", "state"])
+
+        def combined(frame):
+            frame = frame.sort_values("place")
+            whole = reduce(merge, map(pickle.loads, frame["state"]))
+            return pd.DataFrame([(frame["path"].iloc[0], rule, value) for rule, value in finish(whole)], columns=["path", "rule_name", "value"])
+        made = pieces.select("path", "chunk_start", "chunk_lead", "chunk_length", "filesize", "content").mapInPandas(
+            states, "path string, place long, state binary")
+        return self._findings(made.groupBy("path").applyInPandas(combined, "path string, rule_name string, value string"))

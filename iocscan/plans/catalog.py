@@ -10,7 +10,7 @@ from iocscan.api import one_pass, scan
 from iocscan.functions.content import escape_bytes, file_type, registry_display
 from iocscan.functions.names import WELL_KNOWN_NAMES, basename
 from iocscan.operators import content as rules_on, digests, names, units as scan_units
-from iocscan.operators.detectors import BytesDetector, ExpressionDetector
+from iocscan.operators.detectors import BytesDetector, ExpressionDetector, Piece, PieceDetector
 from iocscan.operators.expand import expand, whole_units
 from iocscan.operators.leaves import string_leaves
 from iocscan.operators.rules import RuleSet
@@ -735,6 +735,42 @@ def u1_custom_detector(spark, folder):
     ).findings.select("scanner", "rule_name", "found_in_file", "value_data")
 
 
+def _lines_of(piece: Piece) -> tuple[int, int, int, int]:
+    """Line feeds, and the bytes of the first, the longest inner and the last line."""
+    sizes = [len(line) for line in piece.own.split(b"\n")]
+    return len(sizes) - 1, sizes[0], max(sizes[1:-1], default=0), sizes[-1]
+
+
+def _lines_together(left: tuple, right: tuple) -> tuple[int, int, int, int]:
+    border = left[3] + right[1]
+    if left[0] and right[0]:
+        return left[0] + right[0], left[1], max(left[2], border, right[2]), right[3]
+    if left[0]:
+        return left[0], left[1], left[2], border
+    return right[0], border, right[2], right[3] if right[0] else border
+
+
+def _long_lines(state: tuple):
+    feeds, first, inner, last = state
+    longest = max(first, inner, last)
+    if longest > 2000:
+        yield "long line", f"{longest} of {feeds + 1} lines"
+
+
+@query("u1_piecewise_detector", """
+SELECT 'Shape' AS scanner, 'long line' AS rule_name, path AS found_in_file, concat(longest, ' of ', lines, ' lines') AS value_data
+FROM (SELECT path, len(string_split(text, chr(10))) AS lines,
+             list_max([octet_length(encode(x)) FOR x IN string_split(text, chr(10))]) AS longest FROM artifacts)
+WHERE longest > 2000
+""", ctes=(ARTIFACTS,))
+def u1_piecewise_detector(spark, folder):
+    """A detector of one's own over documents as files that are read in pieces of 1,000 bytes."""
+    root = inputs.file_tree(spark, folder)
+    shape = PieceDetector("Shape", _lines_of, _lines_together, _long_lines)
+    found = scan(root, detectors=[shape], chunk_bytes=1000).findings
+    return found.select("scanner", "rule_name", F.substr("found_in_file", F.lit(len(root) + 1)).alias("found_in_file"), "value_data")
+
+
 @query("x1_stream_equals_batch", """
 , seen AS (SELECT * FROM artifacts WHERE NOT regexp_matches(basename, 'xx$'))
 SELECT 'Yara' AS scanner, 'mail' AS rule_name, path AS found_in_file FROM seen WHERE regexp_matches(text, '[A-Za-z0-9._]+@[a-z.]+')

@@ -12,8 +12,8 @@ STRING_MATCHES = T.ArrayType(T.StructType([
     T.StructField("matches", T.ArrayType(MATCH)),
 ]))
 
-#: One row per finding. ``part`` is 0 but for further rows of one finding in a
-#: file that was read in chunks (each row then holds the matches of one chunk).
+#: One row per finding, with ``part`` 0. A finding in a file that was read in pieces is one row with part 1, which lists the strings without any
+#: match (null if there is none), and with part 2 a row for each piece with matches, which lists all strings; sinks put them together.
 FINDING = T.StructType([
     T.StructField("scanner", T.StringType()),
     T.StructField("rule_name", T.StringType()),

@@ -5,20 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from iocscan.functions.content import escape_bytes
-from iocscan.schemas import FILENAME, HASH, LEVENSHTEIN, YARA
+from iocscan.schemas import FILENAME, FINDING, HASH, LEVENSHTEIN, STRING_MATCHES, YARA
 
 _KEEP_NULLS = {"ignoreNullFields": "false"}
 
 
+_KEY = [c for c in FINDING.fieldNames() if c not in ("part", "strings")]
+
+
+def whole_findings(findings: DataFrame) -> DataFrame:
+    """One row per finding, with all its strings: what pieces of a file have is put together in order of offsets.
+
+    Only findings in files that were read in pieces are shuffled, match by match first combined by string. What ``part`` is
+    is known to the plan, so where nothing was read in pieces nothing is added to it.
+    """
+    own = [F.coalesce(c, F.lit("")).alias(c) for c in _KEY] + [F.struct(*[F.col(c).isNull() for c in _KEY]).alias("_null")]
+    key = [*_KEY, "_null"]
+    pieces = findings.where("part = 2").select(*own, F.posexplode("strings").alias("place", "s"))
+    strings = pieces.groupBy(*key, "place", F.col("s.identifier").alias("identifier")).agg(
+        F.array_sort(F.flatten(F.collect_list("s.matches"))).alias("matches"))
+    strings = strings.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("place", "identifier", "matches"))).alias("found"))
+    strings = strings.select(*key, F.transform("found", lambda s: F.struct(s["identifier"], s["matches"])).alias("found"))
+    heads = findings.where("part = 1").select(*own, "strings").join(strings, key, "left")
+    heads = heads.select(
+        *[F.when(~F.col("_null")[f"col{i + 1}"], F.col(c)).alias(c) for i, c in enumerate(_KEY)], F.lit(0).cast("long").alias("part"),
+        F.coalesce(F.col("found").cast(STRING_MATCHES), "strings").alias("strings"))
+    return findings.where("part = 0").unionByName(heads)
+
+
 def _string_details(value: Column) -> Column:
-    """One text per match; a string without a match is shown by its identifier."""
+    """One text per match; a string without a match is shown by its identifier, but not for a piece."""
     def of_string(s: Column) -> Column:
         bare = F.when(value.isNull(), s["identifier"]).otherwise(F.concat(s["identifier"], F.lit(" in "), value))
         matches = F.transform(s["matches"], lambda m: F.concat(
             s["identifier"], F.lit(" at offset "), F.lower(F.hex(m["offset"])), F.lit(": "), escape_bytes(m["data"]),
             F.when(value.isNull(), F.lit("")).otherwise(F.concat(F.lit(" in ("), value, F.lit(")"))),
         ))
-        return F.when(F.size(s["matches"]) == 0, F.array(bare)).otherwise(matches)
+        return F.when((F.size(s["matches"]) == 0) & (F.col("part") < 2), F.array(bare)).otherwise(matches)
 
     return F.flatten(F.transform("strings", of_string))
 
@@ -26,17 +49,22 @@ def _string_details(value: Column) -> Column:
 def csv_lines(findings: DataFrame, details: bool = False) -> DataFrame:
     """``scanner_name, rule_name, found_in_file, details``; equal lines of one finding once."""
     nothing = F.array(F.lit(""))
-    first = findings if details else findings.where(F.col("part") == 0)
+    first = findings if details else findings.where("part < 2")
+    # a head without strings says that all have a match
     lines = F.when(
         F.coalesce(F.size("strings"), F.lit(0)) > 0, F.array_distinct(_string_details(F.col("value_data")))
-    ).otherwise(F.when((F.col("part") == 0), nothing)) if details else nothing
+    ).otherwise(F.when((F.col("part") == 0) | F.col("strings").isNotNull(), nothing)) if details else nothing
     return first.select(
         F.col("scanner").alias("scanner_name"), "rule_name", "found_in_file", F.explode(lines).alias("details")
     )
 
 
 def json_lines(findings: DataFrame) -> DataFrame:
-    """``value``: one JSON object per finding, all keys present even when null."""
+    """``value``: one JSON object per finding, all keys present even when null.
+
+    Findings of rules need their strings (``scan`` with ``details``): without them the job fails, as an empty list would say that nothing matched.
+    """
+    findings = whole_findings(findings)
     shown = F.transform("strings", lambda s: F.struct(
         s["identifier"].alias("identifier"),
         F.transform(s["matches"], lambda m: F.struct(
@@ -55,7 +83,7 @@ def json_lines(findings: DataFrame) -> DataFrame:
         .when(scanner == HASH, line("hash", F.col("rule_name").alias("03_hash")))
         .when(scanner == YARA, line(
             "yara", F.col("value_data").alias("03_value"),
-            F.coalesce(shown, F.array().cast(
+            F.coalesce(shown, F.raise_error(F.lit("JSON lists the strings of rules: scan with details=True")).cast(
                 "array<struct<identifier:string,matches:array<struct<offset:bigint,data:string>>>>"
             )).alias("04_strings"),
             F.col("contained_file").alias("05_contained_file"),
@@ -93,9 +121,8 @@ def text_lines(findings: DataFrame, details: bool = False) -> DataFrame:
         F.when(scanner == YARA, "Yara: ").otherwise(F.concat(scanner, F.lit(": "))), rule, F.lit(" "), file
     )
     strings = F.coalesce(F.flatten(F.transform("strings", of_string)), F.array().cast("array<string>"))
-    titled = F.when(F.col("part") == 0, F.array(title)).otherwise(F.array().cast("array<string>"))
-    other = F.array_join(F.concat(titled, strings) if details else F.array(title), "\n")
-    shown = findings if details else findings.where(F.col("part") == 0)
+    other = F.array_join(F.concat(F.array(title), strings) if details else F.array(title), "\n")
+    shown = whole_findings(findings) if details else findings.where("part < 2")
     return shown.select(
         F.when(scanner == FILENAME, F.concat(
             F.lit("the name of '"), file, F.lit("' matches the pattern /"), rule, F.lit("/")
