@@ -80,3 +80,36 @@ def test_columns_against_pairs():
                     j != i and group[j] == group[i] and 0 <= (q := p - before[i] + before[j]) <= sizes[j] - 6
                     and np.array_equal(parts[i][p:p + 6], parts[j][q:q + 6]) for j in range(n))
                 assert got[i][p] == same
+
+
+def test_passages_of_over_fifty_words_on_both_sides_of_the_length(spark):
+    """Passages of 51 words or more that documents share: what has 400 bytes goes from both, what is shorter stays, and clean documents lose nothing."""
+    rng = random.Random(51)
+
+    def words(n, low, high):
+        return " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(low, high))) for _ in range(n))
+    passages = [words(51 + i % 12, 4, 8) if i % 2 else words(60 + i % 30, 6, 10) for i in range(40)]
+    rows = []
+    for i, passage in enumerate(passages):
+        for k in range(2 + i % 3):
+            rows.append((10 * i + k, f"{words(30, 3, 9)} {passage} {words(25, 3, 9)}"))
+    clean = [(1_000 + i, words(120, 3, 9)) for i in range(40)]
+    found = {r.id: r for r in remove_repeats(table(spark, rows + clean)).collect()}
+    longer = [i for i, p in enumerate(passages) if len(p) >= 400]
+    assert 10 < len(longer) < 35 and min(map(len, passages)) < 400
+    for doc, text in rows:
+        removed = sum(s.end - s.start for s in found[doc].spans)
+        assert removed >= len(passages[doc // 10]) if doc // 10 in longer else removed in (0, *range(400, 410))
+        assert found[doc].n_bytes == len(text)
+    assert all(not found[doc].spans and bytes(found[doc].kept).decode() == text for doc, text in clean)
+    assert flat(found.values()) == brute(rows + clean, 400)
+
+
+def test_one_passage_in_a_third_of_all_documents(spark, monkeypatch):
+    """The hot anchor case: stretches that reach into each document's own text, with a small bound on what is sorted together."""
+    monkeypatch.setattr(substrings, "BATCH_SYMBOLS", 2_000)
+    rng = random.Random(3)
+    passage = " ".join(f"p{rng.randrange(10 ** 6)}" for _ in range(70))
+    rows = [(i, " ".join([f"a{rng.randrange(10 ** 6)}"] * 1 + [f"b{i}x{j}" for j in range(12)] + ([passage] if i % 3 == 0 else []) + [f"c{i}x{j}" for j in range(9)]))
+            for i in range(600)]
+    assert flat(remove_repeats(table(spark, rows)).collect()) == brute(rows, 400)
