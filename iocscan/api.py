@@ -143,6 +143,7 @@ def scan(
     details: bool = False,
     rule_timeout_s: float | None = None,
     chunk_bytes: int = CHUNK_BYTES,
+    rule_shard_strings: int | None = None,
     detectors: Sequence[Detector] = (),
 ) -> ScanResult:
     """Match artifacts against indicators.
@@ -152,7 +153,8 @@ def scan(
     rule files. ``records`` and ``registry_values`` are further sources for the
     rules; event logs and hives among the artifacts are then not scanned as raw
     bytes if their rows are there. With ``details`` every finding of a rule lists
-    the matches of its strings.
+    the matches of its strings. Rule sets of more than ``rule_shard_strings`` strings (``rules.MAX_RULE_STRINGS``) are searched in
+    several passes of so many each, with the same findings.
 
     Nothing is left out unless a limit is given: ``max_unit_bytes`` ends decoded content there, and
     ``rule_timeout_s`` gives up the search of a unit, which is then reported and has no findings of rules.
@@ -291,23 +293,27 @@ def scan(
             pieces.append(scan_units.chunk_units(read.where(F.col("error").isNull())))
         tagged = rule_timeout_s is not None and not details
         search = rules_on.rule_findings_with_matches if details else rules_on.rule_findings
+        shards = rules.shards(rule_shard_strings)
         for source in sources:
-            if tagged:
-                take(rules_on.rule_outcomes(source, rules, rule_timeout_s), YARA, "match", "found_in_file")
-            else:
-                found.append(search(source, rules, rule_timeout_s))
+            for shard in shards:
+                if tagged:
+                    take(rules_on.rule_outcomes(source, shard, rule_timeout_s), YARA, "match", "found_in_file")
+                else:
+                    found.append(search(source, shard, rule_timeout_s))
         if uncovered is not None:
             rest = scan_units.raw_units(scan_units.with_externals(table.where(F.col("filetype") == "reg")))
-            found.append(search(rest, rules, rule_timeout_s).join(
-                uncovered.select(F.col("path").alias("artifact_path")), "artifact_path", "left_anti").select(*COLUMNS))
+            for shard in shards:
+                found.append(search(rest, shard, rule_timeout_s).join(
+                    uncovered.select(F.col("path").alias("artifact_path")), "artifact_path", "left_anti").select(*COLUMNS))
             if details:
                 sources.append(rest)
         search = rules_on.chunked_findings_with_matches if details else rules_on.rule_findings
         for piece in pieces:
-            if tagged:
-                take(rules_on.rule_outcomes(piece, rules, rule_timeout_s), YARA, "match", "found_in_file")
-            else:
-                found.append(search(piece, rules, rule_timeout_s))
+            for shard in shards:
+                if tagged:
+                    take(rules_on.rule_outcomes(piece, shard, rule_timeout_s), YARA, "match", "found_in_file")
+                else:
+                    found.append(search(piece, shard, rule_timeout_s))
         if rule_timeout_s is not None:
             # matches are collected from content, which is not kept: with details late units are found in a search of their own
             for source in [*sources, *pieces] if details else [rest] if uncovered is not None else []:

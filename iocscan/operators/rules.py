@@ -40,7 +40,7 @@ RULE_STRINGS = T.StructType([
 ])
 
 #: A rule set is program text: it is compiled on the driver and sent to every
-#: task. Larger sets are refused, not cut.
+#: task, so many strings at a time. Larger sets are searched in several passes.
 MAX_RULE_STRINGS = 200_000
 
 # The variables that conditions may refer to.
@@ -557,6 +557,39 @@ class RuleSet:
     def reported(self) -> list[tuple[int, Rule]]:
         return [(i, r) for i, r in enumerate(self.rules) if not r.private]
 
+    def shards(self, most_strings: int | None = None) -> list[RuleSet]:
+        """The rules in sets of at most ``most_strings`` strings, in order; a rule stays with those whose strings its condition uses.
+
+        Only rules that belong together and have more strings than that make a larger set. Findings of the sets together are those of the whole.
+        """
+        most_strings = most_strings or MAX_RULE_STRINGS
+        if len(self.strings) <= most_strings:
+            return [self]
+        owner = {s.index: i for i, r in enumerate(self.rules) for s in r.strings}
+        lead = list(range(len(self.rules)))  # the first rule of each group
+
+        def first(i: int) -> int:
+            while lead[i] != i:
+                lead[i] = i = lead[lead[i]]
+            return i
+        for i, rule in enumerate(self.rules):
+            for atom in rule.atoms.values():
+                a, b = first(i), first(owner[atom.string])
+                lead[max(a, b)] = min(a, b)
+        groups: dict[int, list[int]] = {}
+        for i in range(len(self.rules)):
+            groups.setdefault(first(i), []).append(i)
+        parts: list[list[int]] = [[]]
+        held = 0
+        for group in groups.values():
+            size = sum(len(self.rules[i].strings) for i in group)
+            if parts[-1] and held + size > most_strings:
+                parts.append([])
+                held = 0
+            parts[-1] += group
+            held += size
+        return [RuleSet([self.rules[i] for i in sorted(part)]) for part in parts]
+
     @classmethod
     def from_rows(cls, rules: list, strings: list) -> RuleSet:
         """Compile rows of the two tables; order of the rows is kept."""
@@ -584,12 +617,8 @@ class RuleSet:
 
     @classmethod
     def from_tables(cls, rules: DataFrame, strings: DataFrame) -> RuleSet:
-        """Compile rule tables, refusing sets beyond ``MAX_RULE_STRINGS``."""
-        rule_rows = rules.limit(MAX_RULE_STRINGS + 1).collect()
-        string_rows = strings.limit(MAX_RULE_STRINGS + 1).collect()
-        if max(len(rule_rows), len(string_rows)) > MAX_RULE_STRINGS:
-            raise ValueError(f"more than {MAX_RULE_STRINGS} rule strings")
-        return cls.from_rows(rule_rows, string_rows)
+        """Compile rule tables (``RULES``, ``RULE_STRINGS``). The text of all rules is held on the driver; how many strings are searched together is ``shards``."""
+        return cls.from_rows(rules.collect(), strings.collect())
 
     @classmethod
     def define(cls, *definitions: tuple[str, dict[str, str], str]) -> RuleSet:

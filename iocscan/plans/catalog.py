@@ -13,7 +13,7 @@ from iocscan.operators import content as rules_on, digests, names, units as scan
 from iocscan.operators.detectors import BytesDetector, ExpressionDetector, Piece, PieceDetector
 from iocscan.operators.expand import expand, whole_units
 from iocscan.operators.leaves import string_leaves
-from iocscan.operators.rules import RuleSet
+from iocscan.operators.rules import RULE_STRINGS, RULES, RuleSet
 from iocscan.plans import inputs
 from iocscan.plans.inputs import ARTIFACTS, HASH_IOCS, KNOWN_ROWS, PATTERN_ROWS, PATTERNS, RECORDS, REGISTRY
 from iocscan.session import prepare, work_folder
@@ -93,6 +93,35 @@ def s2_table_artifacts(spark, folder):
     )
 
 
+@query("s11_rule_tables", """
+WITH passages AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, substr(text, 1, 12) AS a, substr(text, 13, 12) AS b, length(text) AS n FROM benchmark WHERE length(text) > 24)
+SELECT 'Yara' AS scanner, concat('item_', item) AS rule_name, concat('/documents/', CAST(doc_id AS VARCHAR)) AS found_in_file
+FROM documents, passages WHERE contains(text, a) AND contains(text, b)
+UNION ALL SELECT 'Yara', concat('early_', item), concat('/documents/', CAST(doc_id AS VARCHAR))
+FROM documents, passages WHERE contains(text, a) AND contains(text, b) AND octet_length(encode(text)) < 4096
+""")
+def s11_rule_tables(spark, folder):
+    """Two rules for each benchmark item, from tables of rules and strings, searched a hundred strings at a time."""
+    items = inputs.table(spark, folder, "benchmark").where(F.char_length("text") > 24).select(F.col("item_id").cast("string").alias("item"), "text")
+    none, no = F.lit(None).cast("string"), F.lit(False)
+    rules = items.select(
+        F.explode(F.array(
+            F.struct(F.concat(F.lit("item_"), "item").alias("rule_id"), F.lit("all of them").alias("condition")),
+            F.struct(F.concat(F.lit("early_"), "item").alias("rule_id"), F.concat(F.lit("item_"), "item", F.lit(" and filesize < 4KB")).alias("condition")))).alias("r"), "item"
+    ).select("r.rule_id", F.concat(F.lit("/rules/"), "item").alias("rule_file"), "r.condition", no.alias("private"))
+    strings = items.select(F.concat(F.lit("item_"), "item").alias("rule_id"), F.explode(F.array(
+        F.struct(F.lit("$a").alias("string_id"), F.substring("text", 1, 12).alias("value")),
+        F.struct(F.lit("$b").alias("string_id"), F.substring("text", 13, 12).alias("value")))).alias("s")
+    ).select("rule_id", "s.string_id", F.lit("text").alias("kind"), F.replace("s.value", F.lit("\\"), F.lit("\\\\")).alias("value"),
+             *[no.alias(c) for c in ("nocase", "wide", "ascii", "fullword")])
+    found = RuleSet.from_tables(
+        rules.select(*RULES.fieldNames()).orderBy("rule_file", F.desc("rule_id")), strings.select(*RULE_STRINGS.fieldNames()).orderBy("rule_id", "string_id"))
+    documents = inputs.table(spark, folder, "documents").select(
+        F.concat(F.lit("/documents/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").cast("binary").alias("content"))
+    return scan(documents, rules=found, rule_shard_strings=100).findings.select("scanner", "rule_name", "found_in_file")
+
+
 @query("s4_expand_roundtrip", f"""
 SELECT concat('/packed/', CAST(doc_id AS VARCHAR), '.', {inputs.kind_sql(("gz", "bz2", "xz"))}) AS found_in_file,
        octet_length(encode(text)) AS length, md5(text) AS digest, false AS truncated

@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from iocscan.api import scan
@@ -184,3 +185,27 @@ def test_repeated_groups_on_long_texts(spark):
     """Java would run out of stack here; such rules are searched in Python."""
     rules = RuleSet.define(("r", {"$a": "/x(a|b)+c/"}, "any of them"))
     assert hits(rule_findings(units(spark, [b"x" + b"ab" * 200_000 + b"c"]), rules)) == {("r", "/d/0")}
+
+
+def test_rule_sets_of_any_size(spark):
+    """Sets of bounded size find what the whole set finds; rules stay with those they name, private ones too."""
+    rows = []
+    for i in range(12):
+        rows += [(f"base{i}", f"f{i}", "$a", i % 2 == 0), (f"on{i}", f"f{i}", f"base{i} and not $b", False), (f"free{i}", f"f{i}", "#a > 1", False)]
+    rules = [Row(rule_id=r, rule_file=f, condition=c, private=p) for r, f, c, p in rows]
+    flags = {"nocase": False, "wide": False, "ascii": False, "fullword": False}
+    strings = [
+        Row(rule_id=f"{kind}{i}", string_id=name, kind="text", value=value, **flags)
+        for i in range(12) for kind, name, value in (("base", "$a", f"word{i} "), ("on", "$b", f"stop{i}"), ("free", "$a", f"d{i} "))]
+    whole = RuleSet.from_rows(rules, strings)
+    texts = [" ".join(f"word{(i * j) % 12} stop{(i + j) % 20}" for j in range(1 + i % 7)) + " " for i in range(80)]
+    table = spark.createDataFrame([(f"/{i}", t.encode()) for i, t in enumerate(texts)], "path string, content binary")
+    expected = sorted((r.rule_name, r.found_in_file) for r in scan(table, rules=whole).findings.collect())
+    assert len(expected) > 50
+    for most in (9, 1000):
+        shards = whole.shards(most)
+        assert sum(len(s.rules) for s in shards) == 36 and all(len(s.strings) <= most for s in shards)
+        assert len(shards) == 1 if most == 1000 else len(shards) > 1
+        for options in ({}, {"details": True}):
+            found = scan(table, rules=whole, rule_shard_strings=most, **options).findings
+            assert sorted((r.rule_name, r.found_in_file) for r in found.select("rule_name", "found_in_file").collect()) == expected
