@@ -22,7 +22,7 @@ from iocscan.operators.rules import RuleSet
 from iocscan.schemas import FINDING, HASH, SCAN_ERROR, YARA
 from iocscan.session import prepare
 from iocscan.sources.files import CHUNK_BYTES, OVERLAP_BYTES, digest_files, list_files, read_files, task_count, with_file_types
-from iocscan.sources.iocs import filename_patterns as pattern_list, hash_iocs, hash_list, known_names as name_table
+from iocscan.sources.iocs import filename_patterns as pattern_list, hash_iocs, hash_list, known_names as name_table, pattern_table
 from iocscan.sources.rulefiles import load_rules
 
 _ERROR = SCAN_ERROR.fieldNames()
@@ -131,7 +131,7 @@ def scan(
     artifacts: DataFrame | str,
     *,
     rules: RuleSet | str | None = None,
-    filename_patterns: Iterable[str] = (),
+    filename_patterns: Iterable[str] | DataFrame = (),
     known_names: bool | Iterable[str] | DataFrame = False,
     hashes: Iterable[str] | DataFrame = (),
     exclude: str | None = None,
@@ -169,6 +169,11 @@ def scan(
         errors.append(_errors(rejected, "rule_file", YARA, "rules", "message"))
     if rules is not None and not rules.rules:
         rules = None
+    many_patterns = None
+    if not isinstance(filename_patterns, DataFrame):
+        filename_patterns = list(filename_patterns)
+    if isinstance(filename_patterns, DataFrame) or len(filename_patterns) > names.INLINE_PATTERNS:
+        many_patterns, filename_patterns = pattern_table(spark, filename_patterns), ()
     patterns = pattern_list(spark, filename_patterns)
     excluded = None if exclude is None else checked_name_patterns(spark, [exclude])[0]
     watched: Sequence[str] = ()
@@ -256,6 +261,8 @@ def scan(
     elif patterns or watched or by_content:
         found.append(one_pass(
             table, rules if native else None, patterns, watched, small_iocs, plain if native else None))
+    if many_patterns is not None:
+        found.append(names.pattern_findings(name_rows, many_patterns))
     if watch_table is not None:
         found.append(names.near_misses(name_rows, watch_table))
     if listed is not None and not listed.small:

@@ -50,3 +50,42 @@ def checked_name_patterns(spark: SparkSession, patterns: list[str]) -> list[str]
     except PySparkException as error:
         raise ValueError(f"invalid pattern among {patterns}") from error
     return java
+
+
+def required_literal(pattern: str) -> str:
+    """A string that every name matched by the pattern contains: the longest run of plain characters outside groups, the first of equally long ones.
+
+    Empty where there is none, and for patterns with flags, alternatives outside groups, or escapes that are neither a plain character nor a class.
+    """
+    runs, run, depth, counted = [], "", 0, False
+    for step in _STEP.findall(pattern):
+        plain = ""
+        if counted:  # inside {n,m}
+            counted = step != "}"
+            continue
+        if step.startswith("(?") and not re.match(r"\(\?(:|P?<\w+>)", step):
+            return ""
+        if step.startswith("("):
+            depth += 1
+        elif step == ")":
+            depth -= 1
+        elif depth == 0:
+            if step == "|":
+                return ""
+            if step in ("*", "?", "{"):
+                run = run[:-1]
+                counted = step == "{"
+            elif step.startswith("\\"):
+                if step[1:].isalnum() and step[1] not in "dDwWsSbBAz":
+                    return ""
+                plain = "" if step[1].isalnum() else step[1]
+            elif step.startswith("[") and len(step) == 3 and step[1] not in "^\\":
+                plain = step[1]
+            elif len(step) == 1 and step not in ".^$+":
+                plain = step
+        if plain:
+            run += plain
+        else:
+            runs.append(run)
+            run = ""
+    return max([*runs, run], key=len)

@@ -19,7 +19,7 @@ from iocscan.plans.inputs import ARTIFACTS, HASH_IOCS, KNOWN_ROWS, PATTERN_ROWS,
 from iocscan.session import prepare, work_folder
 from iocscan.sinks.render import csv_lines, json_lines, suspicious_files, text_lines
 from iocscan.sources.files import digest_files, list_files, read_files
-from iocscan.sources.iocs import filename_patterns, hash_iocs, known_names
+from iocscan.sources.iocs import filename_patterns, hash_iocs, known_names, pattern_table
 from iocscan.sources.rulefiles import parse_rule_files, rule_tables
 from iocscan.streaming.scan_stream import scan_stream, write_stream
 
@@ -347,6 +347,15 @@ def j2_filename_regex(spark, folder):
     ).select("found_in_file", "rule_name")
 
 
+@query("j2_many_patterns", """
+SELECT path AS found_in_file, pattern AS rule_name FROM artifacts JOIN many ON regexp_matches(basename, pattern)
+""", ctes=(ARTIFACTS, inputs.MANY_PATTERNS_SQL))
+def j2_many_patterns(spark, folder):
+    """Thousands of patterns: an equi-join on grams of their literals, expressions only on what meets."""
+    return names.pattern_findings(
+        inputs.artifacts(spark, folder), pattern_table(spark, inputs.many_patterns(spark, folder))).select("found_in_file", "rule_name")
+
+
 @query("j3_levenshtein", """
 SELECT path AS found_in_file, known AS rule_name FROM artifacts JOIN known8 ON levenshtein(basename, known) = 1
 """, ctes=(ARTIFACTS, KNOWN_ROWS))

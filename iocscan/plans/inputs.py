@@ -86,6 +86,26 @@ known8(known) AS (VALUES ('svchost.exe'), ('explorer.exe'), ('iexplore.exe'), ('
 """
 
 
+#: Patterns with and without a literal, for each document and each customer.
+MANY_PATTERNS_SQL = """
+many(pattern) AS (
+  SELECT concat('^doc_', CAST(doc_id AS VARCHAR), '[.]tx?t$') FROM documents
+  UNION ALL SELECT concat('^(doc)?_0*', CAST(c_custkey AS VARCHAR), '[.](txt|exe)$') FROM customer
+  UNION ALL SELECT concat('lsass[.]e.e', CAST(c_nationkey AS VARCHAR), '?$') FROM customer WHERE c_custkey <= 50
+  UNION ALL SELECT * FROM (VALUES ('^expl'), ('x$'), ('[.]txt$')))
+"""
+
+
+def many_patterns(spark: SparkSession, folder: str) -> DataFrame:
+    customers = table(spark, folder, "customer")
+    number, nation = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
+    return (
+        table(spark, folder, "documents").select(F.concat(F.lit("^doc_"), F.col("doc_id").cast("string"), F.lit("[.]tx?t$")).alias("pattern"))
+        .unionAll(customers.select(F.concat(F.lit("^(doc)?_0*"), number, F.lit("[.](txt|exe)$"))))
+        .unionAll(customers.where("c_custkey <= 50").select(F.concat(F.lit("lsass[.]e.e"), nation, F.lit("?$"))))
+        .unionAll(spark.createDataFrame([(p,) for p in PATTERNS], "pattern string")))
+
+
 def hash_strings(spark: SparkSession, folder: str) -> DataFrame:
     """Hex digests as an analyst would hand them in: mixed case, some twice."""
     body = F.col("text").cast("binary")

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from iocscan.functions.names import WELL_KNOWN_NAMES
-from iocscan.functions.patterns import checked_name_patterns
+from iocscan.functions.patterns import checked_name_patterns, name_pattern, required_literal
 
 
 def hash_iocs(hashes: DataFrame, column: str = "hash") -> DataFrame:
@@ -48,5 +48,24 @@ def filename_patterns(spark: SparkSession, patterns: Iterable[str]) -> list[tupl
     return list(zip(patterns, checked_name_patterns(spark, patterns))) if patterns else []
 
 
+def pattern_table(spark: SparkSession, patterns: Iterable[str] | DataFrame) -> DataFrame:
+    """(pattern, java, literal, times) of any number of patterns, each once: Java form, a string its matches contain, and how often it was given.
+
+    From strings or a table with ``pattern``. Null patterns are left out; a bad one fails when the table is computed.
+    """
+    if not isinstance(patterns, DataFrame):
+        patterns = spark.createDataFrame([(p,) for p in patterns], "pattern string")
+
+    def translated(frames):
+        for frame in frames:
+            frame["java"] = [name_pattern(p) for p in frame["pattern"]]
+            frame["literal"] = [required_literal(p) for p in frame["pattern"]]
+            yield frame
+    counted = patterns.where(F.col("pattern").isNotNull()).groupBy("pattern").agg(F.count(F.lit(1)).alias("times"))
+    table = counted.mapInPandas(translated, "pattern string, times long, java string, literal string")
+    # every pattern is compiled once, so that a bad one does not depend on the names
+    return table.where(F.rlike(F.lit(""), F.col("java")).isNotNull())
+
+
 def known_names(spark: SparkSession, names: Iterable[str] = WELL_KNOWN_NAMES) -> DataFrame:
     return spark.createDataFrame([(i, n) for i, n in enumerate(names)], "pos int, known string")

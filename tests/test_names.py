@@ -4,9 +4,9 @@ from pyspark.sql import functions as F
 
 from iocscan.api import one_pass, scan
 from iocscan.functions.names import WELL_KNOWN_NAMES, basename, extension
-from iocscan.functions.patterns import name_pattern
+from iocscan.functions.patterns import name_pattern, required_literal
 from iocscan.operators import names
-from iocscan.sources.iocs import filename_patterns
+from iocscan.sources.iocs import filename_patterns, pattern_table
 
 
 def artifacts(spark, *paths):
@@ -106,3 +106,38 @@ def test_same_pattern_twice_gives_two_findings(spark):
 def test_exclusion_is_on_the_name_only(spark):
     found = scan(artifacts(spark, "/tmp/a", "/b/tmp", "/b/c"), filename_patterns=[""], exclude="tmp").findings
     assert {r.found_in_file for r in found.collect()} == {"/tmp/a", "/b/c"}
+
+
+@pytest.mark.parametrize("pattern, literal", [
+    ("^expl", "expl"), ("[.]txt$", ".txt"), (r"a\.exe", "a.exe"), ("abc?de", "ab"), ("ab+cd", "ab"), ("abc{0,2}xy", "ab"), ("a|bcd", ""),
+    ("(abc|d)efg", "efg"), ("((x)yz)*qrs", "qrs"), ("(?i)abc", ""), ("(?:abc)?de", "de"), (r"\x41bc", ""), (r"\d\dabc", "abc"), (r"\Qa.b\E", ""),
+    ("[ab]cde", "cde"), ("[^a]bc", "bc"), ("", ""), ("(?P<n>abc)d", "d"), (r"\p{L}abc", "abc"), ("abc*?de", "ab"), ("𝄞é漢+", "𝄞é漢"),
+])
+def test_required_literals(pattern, literal):
+    assert required_literal(pattern) == literal
+
+
+_NAMES = ["doc_12.txt", "doc_1.txt", "aaa.exe", "a", "", "é𝄞x.txt", "svchost.exe", "x.exe", "abcabc", "line\nfeed.txt"]
+_PATTERNS = [
+    "^doc_1", "[.]txt$", "a.a", "", "abc(abc)?$", "x$", "^$", "exe", "exe", "nowhere", "é𝄞x", "(?i)EXE", "a|host", "d?oc_1{1}2", r"\.exe$", "(c|x)\\.e+xe"]
+
+
+def test_pattern_tables_equal_single_expressions(spark, monkeypatch):
+    rows = artifacts(spark, *[f"/d{i % 3}/{n}" for i, n in enumerate(_NAMES * 3)])
+    single = sorted((r.found_in_file, r.rule_name) for r in one_pass(rows, patterns=filename_patterns(spark, _PATTERNS)).collect())
+    assert len(single) > 30
+    for limit in (20_000, 0):
+        monkeypatch.setattr(names, "BROADCAST_PATTERNS", limit)
+        found = names.pattern_findings(rows, pattern_table(spark, _PATTERNS)).collect()
+        assert sorted((r.found_in_file, r.rule_name) for r in found) == single
+    monkeypatch.setattr(names, "INLINE_PATTERNS", 3)
+    assert sorted((r.found_in_file, r.rule_name) for r in scan(rows, filename_patterns=_PATTERNS).findings.collect()) == single
+
+
+def test_pattern_tables_with_odd_rows(spark):
+    table = spark.createDataFrame([("txt",), (None,)], "pattern string")
+    rows = spark.createDataFrame([("/a.txt", "a.txt", 1), ("/none", None, 2)], "path string, basename string, pattern int")
+    assert [r.found_in_file for r in names.pattern_findings(rows, pattern_table(spark, table)).collect()] == ["/a.txt"]
+    assert names.pattern_findings(rows, pattern_table(spark, table.limit(0))).collect() == []
+    with pytest.raises(Exception):
+        names.pattern_findings(rows, pattern_table(spark, ["fine", "a**("])).collect()
