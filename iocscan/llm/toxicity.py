@@ -26,14 +26,10 @@ from .common import small_batches
 
 #: Labelled rows that are learned from at most; a sample by hash where there are more.
 SAMPLE_ROWS = 20_000
-#: Terms of toxic texts that are counted in the other texts, the most frequent ones.
-TERMS = 50_000
-#: Entries of the lexicon and exception phrases at most.
-ENTRIES, EXCEPTIONS = 2_000, 2_000
 #: Least number of toxic texts with an entry, and of other texts with an exception phrase.
 LEAST_TEXTS = 5
-#: How much an entry must tell about texts at least (log-likelihood ratio).
-LEAST_GAIN = 8.0
+#: How much an entry must tell about texts at least (log-likelihood ratio), and its least weight.
+LEAST_GAIN, LEAST_WEIGHT = 8.0, 1.5
 #: Lengths of word beginnings that can be entries.
 BEGINNINGS = range(3, 9)
 
@@ -140,18 +136,15 @@ def _terms(folded: str) -> Counter[str]:
     return counts
 
 
-def _counted(rows: DataFrame, only: frozenset[str] | None) -> DataFrame:
-    """(term, texts, uses) over the folded texts of ``rows``; of the terms in ``only`` if given."""
-    shared = rows.sparkSession.sparkContext.broadcast(only)
-
+def _counted(rows: DataFrame) -> DataFrame:
+    """(term, texts, uses) over the folded texts of ``rows``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             texts, uses = Counter(), Counter()
             for text in batch.column("text").to_pylist():
                 for term, n in _terms(fold(text or "")).items():
-                    if shared.value is None or term in shared.value:
-                        texts[term] += 1
-                        uses[term] += n
+                    texts[term] += 1
+                    uses[term] += n
             yield pa.RecordBatch.from_arrays([
                 pa.array(list(texts), pa.string()), pa.array(list(texts.values()), pa.int64()),
                 pa.array([uses[t] for t in texts], pa.int64())], names=["term", "texts", "uses"])
@@ -159,36 +152,35 @@ def _counted(rows: DataFrame, only: frozenset[str] | None) -> DataFrame:
     return counted.groupBy("term").agg(F.sum("texts").alias("texts"), F.sum("uses").alias("uses"))
 
 
-def _gain(uses: int, others: int, total: int, other_total: int) -> float:
-    """Log-likelihood ratio of a term's uses in two kinds of texts."""
-    rate = (uses + others) / (total + other_total)
-    return uses * math.log(max(uses, 1e-9) / (rate * total)) + others * math.log(max(others, 1e-9) / (rate * other_total))
+def telling_terms(bad: DataFrame, good: DataFrame, texts: tuple[int, int], words: tuple[int, int]) -> DataFrame:
+    """(term, gain, weight) of the terms (term, texts, uses) of toxic texts that tell enough, all of them.
+
+    ``gain`` is the log-likelihood ratio of how many texts of two kinds have the term, ``weight`` the log ratio of its uses. ``texts``
+    and ``words`` are how many there are, of toxic and of other texts.
+    """
+    both = bad.select("term", F.col("texts").alias("n"), F.col("uses").alias("u")).join(
+        good.select("term", F.col("texts").alias("m"), F.col("uses").alias("v")), "term", "left").fillna(0, ["m", "v"])
+    rate = (F.col("n") + F.col("m")) / float(texts[0] + texts[1])
+    gain = sum(
+        F.col(c) * F.log(F.greatest(F.col(c).cast("double"), F.lit(1e-9)) / (rate * float(total))) for c, total in zip("nm", texts, strict=True))
+    weight = F.log((F.col("u") + 0.5) / float(words[0] + 1)) - F.log((F.col("v") + 0.5) / float(words[1] + 1))
+    return both.select("term", gain.alias("gain"), weight.alias("weight")).where((F.col("weight") > LEAST_WEIGHT) & (F.col("gain") > LEAST_GAIN))
 
 
-def choose_entries(
-    counts: list[tuple[str, int, int, int, int]], texts: tuple[int, int], words: tuple[int, int],
-) -> dict[str, float]:
-    """Weights of the chosen ones among terms (term, toxic texts, other texts, uses in toxic, uses in others).
+def choose_entries(terms: list[tuple[str, float, float]]) -> dict[str, float]:
+    """Weights of the chosen ones among terms (term, gain, weight).
 
     Terms are taken by how much they tell; one that begins, or is begun by, a chosen one is left out, so a
     word matches one entry. Of equally telling ones the longest is taken.
     """
-    ranked = []
-    for term, bad, good, uses, others in counts:
-        weight = math.log((uses + 0.5) / (words[0] + 1)) - math.log((others + 0.5) / (words[1] + 1))
-        gain = _gain(bad, good, *texts)
-        if weight > 1.5 and gain > LEAST_GAIN:
-            ranked.append((-gain, -len(term), term, weight))
     chosen: dict[str, float] = {}
     begun: set[str] = set()
-    for _, _, term, weight in sorted(ranked):
+    for _, _, term, weight in sorted((-round(gain, 9), -len(term), term, weight) for term, gain, weight in terms):
         starts = {term[:i] for i in range(2, len(term))}
         if term in begun or any(s in chosen for s in starts):
             continue
         chosen[term] = weight
         begun |= starts
-        if len(chosen) == ENTRIES:
-            break
     return chosen
 
 
@@ -248,33 +240,30 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float =
 def learn_lexicon(rows: DataFrame, *, text_col: str = "text", label_col: str = "label", sample_rows: int = SAMPLE_ROWS) -> Lexicon:
     """A lexicon from labelled rows (label 1: toxic), at most about ``sample_rows`` of them, chosen by the text's hash.
 
-    Rows with a null label are not learned from; a null text is empty. Without toxic rows the lexicon is empty.
+    Rows with a null label are not learned from; a null text is empty. Without toxic rows the lexicon is empty. All terms and
+    phrases that tell enough are taken; each occurs in ``LEAST_TEXTS`` texts of the sample, so ``sample_rows`` bounds their number.
     """
     prepare(rows.sparkSession)
     rows = rows.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{label_col}`").cast("int").alias("label")).where("label in (0, 1)")
     total = rows.count()
     if total > sample_rows:
         rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(total)) < sample_rows)
-    # terms of toxic texts first: all others cannot be entries
-    toxic = _counted(rows.where("label = 1"), None).where(F.col("texts") >= LEAST_TEXTS)
-    of_toxic = {r.term: (r.texts, r.uses) for r in toxic.orderBy(F.desc("texts"), "term").limit(TERMS).collect()}
-    others = {r.term: (r.texts, r.uses) for r in _counted(rows.where("label = 0"), frozenset(of_toxic)).collect()}
     words = F.size(F.split(F.coalesce("text", F.lit("")), r"\s+"))
     sizes = {r.label: (r.texts, r.words) for r in rows.groupBy("label").agg(
         F.count(F.lit(1)).alias("texts"), F.sum(words).alias("words")).collect()}
     if 1 not in sizes:
         return Lexicon({}, [], (0.0, 0.0, -6.0))
     bad, good = sizes[1], sizes.get(0, (1, 1))
-    weights = choose_entries(
-        [(t, n, others.get(t, (0, 0))[0], uses, others.get(t, (0, 0))[1]) for t, (n, uses) in of_toxic.items()],
-        (bad[0], good[0]), (bad[1], good[1]))
+    found = telling_terms(
+        _counted(rows.where("label = 1")).where(F.col("texts") >= LEAST_TEXTS), _counted(rows.where("label = 0")), (bad[0], good[0]), (bad[1], good[1]))
+    weights = choose_entries([(r.term, r.gain, r.weight) for r in found.collect()])
     lexicon = Lexicon(weights, [], (0.0, 0.0, -6.0))
     counts = _phrases(rows, lexicon).groupBy("term").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("texts")).otherwise(0)).alias("bad"),
         F.sum(F.when(F.col("toxic") == 0, F.col("texts")).otherwise(0)).alias("good"))
     # a phrase that comes in other texts at least as often, text for text, as in toxic ones
-    kept = counts.where((F.col("good") >= LEAST_TEXTS) & (F.col("bad") == 0)).orderBy(F.desc("good"), "term").limit(EXCEPTIONS)
-    lexicon.exceptions = [r.term for r in kept.collect()]
+    kept = counts.where((F.col("good") >= LEAST_TEXTS) & (F.col("bad") == 0))
+    lexicon.exceptions = sorted(r.term for r in kept.collect())
     measured = _measured(rows, lexicon).toPandas()
     fitted = logistic_fit(measured[["a", "b"]].to_numpy(), measured["label"].to_numpy())
     lexicon.curve = (float(fitted[0]), float(fitted[1]), float(fitted[2]))

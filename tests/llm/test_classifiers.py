@@ -1,4 +1,7 @@
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -97,3 +100,40 @@ def test_indicators_see_shape_and_repeats():
     calm, loud, again = indicators([b"this is a text", b"THIS IS!! A TEXT!!", b"this this this this"])
     assert len(set(loud) - set(calm)) > 3 and len(set(again) - set(calm)) > 2
     assert [len(x) for x in indicators([b"", b" \n"])] == [0, 0]
+
+
+def brute_lexicon(rows):
+    """Entries and their weights from plain counts of all terms of all rows (text, label)."""
+    texts, uses, words = {0: Counter(), 1: Counter()}, {0: Counter(), 1: Counter()}, {0: 0, 1: 0}
+    for text, label in rows:
+        found = toxicity._terms(fold(text))
+        texts[label].update(found.keys())
+        uses[label].update(found)
+        words[label] += len(re.split(r"\s+", text))
+    total = Counter(label for _, label in rows)
+    ranked = []
+    for term, n in texts[1].items():
+        m = texts[0][term]
+        rate = (n + m) / len(rows)
+        gain = n * math.log(n / (rate * total[1])) + (m * math.log(m / (rate * total[0])) if m else 0.0)
+        weight = math.log((uses[1][term] + 0.5) / (words[1] + 1)) - math.log((uses[0][term] + 0.5) / (words[0] + 1))
+        if n >= 5 and gain > 8 and weight > 1.5:
+            ranked.append((-round(gain, 9), -len(term), term, weight))
+    chosen = {}
+    for _, _, term, weight in sorted(ranked):
+        if not any(term.startswith(other) or other.startswith(term) for other in chosen):
+            chosen[term] = weight
+    return chosen
+
+
+def test_entries_equal_brute_force_and_have_no_cap(spark):
+    rng = random.Random(6)
+    bad = ["".join(rng.choice("bcdfgjklmnpqrstvwxz") for _ in range(9)) for _ in range(2_600)]
+    rows = [(sentence(i, 30), 0) for i in range(400)]
+    rows += [(" ".join([sentence(900 + i, 5), *(bad[(26 * i + k) % len(bad)] for k in range(130))]), 1) for i in range(500)]
+    rows += [("vile words " + sentence(5000 + i, 20), int(i % 3 > 0)) for i in range(90)]
+    expected = brute_lexicon(rows)
+    found = learn_lexicon(spark.createDataFrame(rows, "text string, label int")).weights
+    assert len(expected) > 2_000
+    assert found.keys() == expected.keys()
+    assert all(abs(found[t] - w) < 1e-9 for t, w in expected.items())
