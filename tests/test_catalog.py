@@ -9,7 +9,7 @@ from __spark_entry__ import entry, oracle_sql, queries
 from iocscan.plans.catalog import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-TABLES = ("documents", "pages", "events", "part", "labels", "benchmark", "conversations", "orders", "lineitem")
+TABLES = ("documents", "pages", "events", "part", "labels", "benchmark", "conversations", "orders", "lineitem", "customer")
 
 
 @pytest.fixture(scope="module")
