@@ -14,10 +14,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from iocscan.schemas import UNIT
-from iocscan.sources.files import CHUNK_BYTES, OVERLAP_BYTES
+from iocscan.sources.files import CHUNK_BYTES, FLUSH_BYTES, OVERLAP_BYTES
 from iocscan.sources.stores import store_of
 
-_FLUSH_BYTES = 32 * 1024 * 1024
 _STEP = 1024 * 1024
 #: Entries of one archive that one task reads at a time, and parts into which an archive is shared out at most:
 #: every part reads the directory, so their number must not grow with it.
@@ -211,7 +210,7 @@ def expand(
                 for unit in _units_of(row, max_unit_bytes, chunk_bytes, overlap_bytes):
                     rows.append(unit)
                     size += len(unit.get("content") or b"") + 256
-                    if size >= _FLUSH_BYTES:
+                    if size >= FLUSH_BYTES:
                         yield batch_of(rows)
                         rows, size = [], 0
         if rows:

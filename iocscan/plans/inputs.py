@@ -12,11 +12,13 @@ import io
 import lzma
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from iocscan.functions.names import WELL_KNOWN_NAMES
 from iocscan.operators.units import artifacts_from
 from iocscan.session import work_folder
+from iocscan.sources.files import FLUSH_BYTES
 from iocscan.sources.stores import on_mount, store_of
 
 
@@ -47,12 +49,12 @@ def file_tree(spark: SparkSession, folder: str) -> str:
     """The documents written as files below a fresh shared folder, which is returned."""
     root = on_mount(work_folder(spark, "tree"))
 
-    def write(frames):
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"]):
-                store_of(root).write(root + path, content)
-            yield frame[["path"]]
-    artifacts(spark, folder).select("path", "content").mapInPandas(write, "path string").write.format("noop").mode("overwrite").save()
+    def write(batches):
+        for batch in batches:
+            for path, content in zip(batch.column("path"), batch.column("content")):
+                store_of(root).write(root + path.as_py(), content.as_py())
+            yield batch.select(["path"])
+    artifacts(spark, folder).select("path", "content").mapInArrow(write, "path string").write.format("noop").mode("overwrite").save()
     return root
 
 
@@ -222,19 +224,30 @@ def _parts(data: bytes, n: int) -> list[bytes]:
 def packed(spark: SparkSession, folder: str, kinds: tuple[str, ...], streams: int = 1) -> DataFrame:
     """Each document packed in one of the kinds, in turn; ``raw`` stays as it is. With ``streams``, in so many one after another."""
     kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col("doc_id") % len(kinds) + 1).cast("int"))
-    chosen = table(spark, folder, "documents").select("doc_id", "text", "source", "n_chars", kind.alias("kind"))
-
-    def pack(frames):
-        for frame in frames:
-            frame["content"] = [
-                b"".join(_packed(k, part, s) for part in _parts(t.encode("utf-8"), streams))
-                for k, t, s in zip(frame["kind"], frame["text"], frame["source"])
-            ]
-            frame["path"] = "/packed/" + frame["doc_id"].astype(str) + "." + frame["kind"]
-            frame["basename"] = frame["doc_id"].astype(str) + "." + frame["kind"]
-            yield frame[["doc_id", "n_chars", "path", "basename", "content"]]
-
-    return chosen.mapInPandas(
+    name = F.concat(F.col("doc_id").cast("string"), F.lit("."), kind)
+    chosen = table(spark, folder, "documents").select(
+        "doc_id", "n_chars", F.concat(F.lit("/packed/"), name).alias("path"), name.alias("basename"), kind.alias("kind"), "text", "source")
+    given = ["doc_id", "n_chars", "path", "basename"]
+
+    def pack(batches):
+        def packed_rows(batch, first, contents):
+            taken = batch.select(given).slice(first, len(contents))
+            return pa.RecordBatch.from_arrays([*taken.columns, pa.array(contents, pa.binary())], names=[*given, "content"])
+
+        # a batch may have 64 MB of text: it leaves in small ones, and only one document at a time is a Python object
+        for batch in batches:
+            first, contents, size = 0, [], 0
+            for k, t, s in zip(*(batch.column(c) for c in ("kind", "text", "source"))):
+                source = s.as_py()
+                contents.append(b"".join(_packed(k.as_py(), part, source) for part in _parts(t.as_py().encode("utf-8"), streams)))
+                size += len(contents[-1])
+                if size >= FLUSH_BYTES:
+                    yield packed_rows(batch, first, contents)
+                    first, contents, size = first + len(contents), [], 0
+            if contents:
+                yield packed_rows(batch, first, contents)
+
+    return chosen.mapInArrow(
         pack, "doc_id bigint, n_chars bigint, path string, basename string, content binary"
     )
 

@@ -32,6 +32,8 @@ LISTED = T.StructType([
 
 #: Files above this size are read in several pieces.
 CHUNK_BYTES = 64 * 1024 * 1024
+#: Content of about so many bytes leaves a task at once; rows of more leave one by one.
+FLUSH_BYTES = 2 * 1024 * 1024
 #: Bytes of files that a task reads, about, and tasks of a scan at most.
 TASK_BYTES, MOST_TASKS = 256 * 1024 * 1024, 1_000_000
 #: Bytes read on both sides of a piece; no match may be longer.
@@ -134,6 +136,12 @@ def _pieces(listing: DataFrame, chunk_bytes: int, tasks: int | None) -> DataFram
     )
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch, some of them at a time as Python objects."""
+    for first in range(0, batch.num_rows, 256):
+        yield from batch.slice(first, 256).to_pylist()
+
+
 _READ = [T.StructField("content", T.BinaryType()), T.StructField("error", T.StringType())]
 
 
@@ -175,10 +183,10 @@ def read_files(
     def run(batches):
         for batch in batches:
             rows, size = [], 0
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 rows.append(one({**row, "content": None, "error": None}))
-                size += len(rows[-1]["content"] or b"")
-                if size > CHUNK_BYTES:
+                size += len(rows[-1]["content"] or b"") + 256
+                if size >= FLUSH_BYTES:
                     yield pa.RecordBatch.from_pylist(rows, schema=arrow)
                     rows, size = [], 0
             if rows:
