@@ -3,17 +3,44 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any, Protocol, runtime_checkable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from iocscan.operators.findings import COLUMNS, finding
 
 
+_FOUND = "path string, rule_name string, value string"
+_FOUND_ARROW = pa.schema([(c, pa.string()) for c in ("path", "rule_name", "value")])
+#: Findings that leave a task at once.
+_FLUSH_ROWS = 2000
+
+
+def _values(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
+    """The rows of a batch, one at a time as Python objects: a batch may have 64 MB of content."""
+    for row in zip(*(batch.column(c) for c in columns)):
+        yield tuple(x.as_py() for x in row)
+
+
+def _batches(found: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    rows = []
+
+    def taken():
+        return pa.RecordBatch.from_arrays(
+            [pa.array([None if x is None else str(x) for x in column], pa.string()) for column in zip(*rows)], schema=_FOUND_ARROW)
+    for row in found:
+        rows.append(row)
+        if len(rows) >= _FLUSH_ROWS:
+            yield taken()
+            rows = []
+    if rows:
+        yield taken()
+
+
 @runtime_checkable
 class Detector(Protocol):
     """Anything with ``detect``: artifacts in, findings (``schemas.FINDING``) out.
@@ -51,19 +78,16 @@ class BytesDetector:
     def detect(self, artifacts: DataFrame) -> DataFrame:
         search = self.search
 
-        def run(frames):
-            for frame in frames:
-                found = [
-                    (path, rule, value)
-                    for path, data in zip(frame["path"], frame["content"])
-                    if data is not None
-                    for rule, value in search(bytes(data))
-                ]
-                yield type(frame)(found, columns=["path", "rule_name", "value"])
-
-        hits = artifacts.select("path", "content").mapInPandas(
-            run, "path string, rule_name string, value string"
-        )
+        def run(batches):
+            yield from _batches(
+                (path, rule, value)
+                for batch in batches
+                for path, data in _values(batch, "path", "content")
+                if data is not None
+                for rule, value in search(data)
+            )
+
+        hits = artifacts.select("path", "content").mapInArrow(run, _FOUND)
         return hits.select(
             finding(self.name, F.col("rule_name"), F.col("path"), F.col("path"), F.col("value")).alias("f")
         ).select("f.*").select(*COLUMNS)
@@ -105,30 +129,32 @@ class PieceDetector:
     def detect(self, artifacts: DataFrame) -> DataFrame:
         of_piece, finish = self.of_piece, self.finish
 
-        def run(frames):
-            for frame in frames:
-                found = [
-                    (path, rule, value) for path, data in zip(frame["path"], frame["content"]) if data is not None
-                    for rule, value in finish(of_piece(Piece(bytes(data), 0, 0, len(data), len(data))))]
-                yield pd.DataFrame(found, columns=["path", "rule_name", "value"])
-        return self._findings(artifacts.select("path", "content").mapInPandas(run, "path string, rule_name string, value string"))
+        def run(batches):
+            yield from _batches(
+                (path, rule, value) for batch in batches
+                for path, data in _values(batch, "path", "content") if data is not None
+                for rule, value in finish(of_piece(Piece(data, 0, 0, len(data), len(data)))))
+        return self._findings(artifacts.select("path", "content").mapInArrow(run, _FOUND))
 
     def detect_pieces(self, pieces: DataFrame) -> DataFrame:
         """``pieces`` as ``sources.files.read_files`` makes them, without those in error."""
         of_piece, merge, finish = self.of_piece, self.merge, self.finish
 
-        def states(frames):
-            for frame in frames:
-                rows = zip(*(frame[c] for c in ("path", "chunk_start", "chunk_lead", "chunk_length", "filesize", "content")))
+        columns = ("path", "chunk_start", "chunk_lead", "chunk_length", "filesize", "content")
+
+        def states(batches):
+            for batch in batches:
                 made = [
-                    (path, start, pickle.dumps(of_piece(Piece(bytes(data), start, lead, length, size))))
-                    for path, start, lead, length, size, data in rows]
-                yield pd.DataFrame(made, columns=["path", "place", "state"])
-
-        def combined(frame):
-            frame = frame.sort_values("place")
-            whole = reduce(merge, map(pickle.loads, frame["state"]))
-            return pd.DataFrame([(frame["path"].iloc[0], rule, value) for rule, value in finish(whole)], columns=["path", "rule_name", "value"])
-        made = pieces.select("path", "chunk_start", "chunk_lead", "chunk_length", "filesize", "content").mapInPandas(
-            states, "path string, place long, state binary")
-        return self._findings(made.groupBy("path").applyInPandas(combined, "path string, rule_name string, value string"))
+                    (path, start, pickle.dumps(of_piece(Piece(data, start, lead, length, size))))
+                    for path, start, lead, length, size, data in _values(batch, *columns)]
+                if made:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x, t) for x, t in zip(zip(*made), (pa.string(), pa.int64(), pa.binary()))], names=["path", "place", "state"])
+
+        def combined(table):
+            table = table.sort_by("place")
+            whole = reduce(merge, (pickle.loads(s.as_py()) for s in table.column("state")))
+            path = table.column("path")[0].as_py()
+            return pa.Table.from_batches(_batches((path, rule, value) for rule, value in finish(whole)), schema=_FOUND_ARROW)
+        made = pieces.select(*columns).mapInArrow(states, "path string, place long, state binary")
+        return self._findings(made.groupBy("path").applyInArrow(combined, _FOUND))
